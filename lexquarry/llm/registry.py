@@ -3,6 +3,12 @@
 from __future__ import annotations
 
 from .mixing import op9_mix_sources
+from .quality import op7_quality_rules
+from .toxicity import op2_toxicity_knn
 
-QUERIES = {"op9_mix_sources": op9_mix_sources}
+QUERIES = {
+    "op2_toxicity_knn": op2_toxicity_knn,
+    "op7_quality_rules": op7_quality_rules,
+    "op9_mix_sources": op9_mix_sources,
+}
 ORACLES: dict[str, str] = {}
