@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .util import column, fold, map_blocks, table, texts
 
@@ -211,14 +212,15 @@ def score(docs: DataFrame, model: ToxicityModel, *, text: str = "text", threshol
     """
     base = docs.drop("score", "predicted", "evidence")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_labelled and MAX_TERMS
-    schema = base.schema.add("score", "double").add("predicted", "int").add("evidence", "array<struct<id:string,cosine:double,toxic:int>>")
+    added = T._parse_datatype_string("score double, predicted int, evidence array<struct<id:string,cosine:double,toxic:int>>")
+    schema, names = T.StructType(base.schema.fields + added.fields), base.columns
 
     def make():
         m = shared.value
 
         def work(block):
             scored = [m.score(t) for t in texts(block, text)]
-            out = {f: column(block, f) for f in base.columns}
+            out = {f: column(block, f) for f in names}
             return out | {"score": [s for s, _ in scored], "predicted": [int(s >= threshold) for s, _ in scored], "evidence": [[{"id": m.ids[i], "cosine": c, "toxic": int(m.toxic[i])} for c, i in near] for _, near in scored]}
 
         return work
