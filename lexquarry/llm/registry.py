@@ -5,10 +5,12 @@ from __future__ import annotations
 from .bpe import op5_bpe_chunks
 from .langid import op6_language_spans
 from .mixing import op9_mix_sources
+from .neardup import op1_minhash_components
 from .quality import op7_quality_rules
 from .toxicity import op2_toxicity_knn
 
 QUERIES = {
+    "op1_minhash_components": op1_minhash_components,
     "op2_toxicity_knn": op2_toxicity_knn,
     "op5_bpe_chunks": op5_bpe_chunks,
     "op6_language_spans": op6_language_spans,
