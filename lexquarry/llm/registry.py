@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .ann import op4_collision_ann
 from .bpe import op5_bpe_chunks
+from .fingerprint import op10_lcp_fingerprints
 from .langid import op6_language_spans
 from .mixing import op9_mix_sources
 from .neardup import op1_minhash_components
@@ -12,9 +14,11 @@ from .toxicity import op2_toxicity_knn
 QUERIES = {
     "op1_minhash_components": op1_minhash_components,
     "op2_toxicity_knn": op2_toxicity_knn,
+    "op4_collision_ann": op4_collision_ann,
     "op5_bpe_chunks": op5_bpe_chunks,
     "op6_language_spans": op6_language_spans,
     "op7_quality_rules": op7_quality_rules,
     "op9_mix_sources": op9_mix_sources,
+    "op10_lcp_fingerprints": op10_lcp_fingerprints,
 }
 ORACLES: dict[str, str] = {}
