@@ -9,6 +9,7 @@ from .langid import op6_language_spans
 from .mixing import op9_mix_sources
 from .neardup import op1_minhash_components
 from .quality import op7_quality_rules
+from .substrings import op8_suffix_dedup
 from .toxicity import op2_toxicity_knn
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_bpe_chunks": op5_bpe_chunks,
     "op6_language_spans": op6_language_spans,
     "op7_quality_rules": op7_quality_rules,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_lcp_fingerprints": op10_lcp_fingerprints,
 }
