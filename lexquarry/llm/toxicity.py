@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import column, fold, map_blocks, table, texts
+from .util import column, fold, map_blocks, materialise, table, texts
 
 #: Labelled rows that the fit uses at most, terms, and neighbours.
 MAX_LABELLED, MAX_TERMS, NEIGHBOURS, BLOCK = 20_000, 4096, 15, 64
@@ -54,6 +54,7 @@ def _distinct_features(block: pa.RecordBatch) -> dict:
 def select_terms(rows: DataFrame, n0: int, n1: int, most: int = MAX_TERMS) -> list[str]:
     """Terms by the log-likelihood ratio; the limit grows with the vocabulary so that about one term passes by chance."""
     counts = map_blocks(rows, lambda: _distinct_features, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b")).where("a + b >= 3")
+    counts = materialise(counts, "tox-terms")
     x, n = lambda k, share: F.when(k > 0, k * F.log(k / share)).otherwise(0.0), float(n0 + n1)
     a, b = F.col("a"), F.col("b")
     both = a + b
@@ -65,46 +66,43 @@ def select_terms(rows: DataFrame, n0: int, n1: int, most: int = MAX_TERMS) -> li
 
 
 class BlockMaxIndex:
-    """Unit vectors in blocks of rows; exact k nearest by cosine."""
+    """Unit vectors in blocks of rows; exact k nearest by cosine.
+
+    ``peaks`` holds the largest weight of each term in each block; the rows of a block lie together and are scored at once.
+    """
 
     def __init__(self, vectors: list[dict[int, float]], n_terms: int):
         self.n, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
         order = sorted(range(self.n), key=lambda i: sorted(vectors[i].items(), key=lambda x: -x[1])[:2])  # alike rows share blocks
         self.rows = np.array(order, dtype=np.int64)
-        post: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for at, i in enumerate(order):
-            for t, w in vectors[i].items():
-                post[t].append((at, w))
-        self.at = [np.array([p for p, _ in x], dtype=np.int64) for x in post]
-        self.w = [np.array([w for _, w in x]) for x in post]
-        self.peak = []
-        for a, w in zip(self.at, self.w):
-            peak = np.zeros(self.blocks)
-            np.maximum.at(peak, a // BLOCK, w)
-            self.peak.append(peak)
+        self.terms = np.array([t for i in order for t in vectors[i]], dtype=np.int64)
+        self.weights = np.array([w for i in order for w in vectors[i].values()])
+        self.start = np.cumsum([0] + [len(vectors[i]) for i in order])
+        self.row = np.repeat(np.arange(self.n), np.diff(self.start))
+        self.peaks = np.zeros((n_terms, self.blocks))
+        np.maximum.at(self.peaks, (self.terms, self.row // BLOCK), self.weights)
+        self.query = np.zeros(n_terms)
 
     def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
         """(cosine, row) of the k largest cosines above 0, ties to the smaller row."""
-        terms = [(t, w) for t, w in query.items() if len(self.at[t])]
-        if not terms:
-            return []
-        bound = sum(w * self.peak[t] for t, w in terms)
-        found: list[tuple[float, int]] = []
+        terms, weights = np.fromiter(query, dtype=np.int64), np.fromiter(query.values(), dtype=float)
+        bound = weights @ self.peaks[terms]
+        self.query[terms] = weights
+        best_s, best_r = np.zeros(0), np.zeros(0, dtype=np.int64)
         for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(found) >= k and bound[b] < found[k - 1][0] - 1e-9:
+            if bound[b] <= 0 or len(best_s) >= k and bound[b] < best_s[-1] - 1e-9:
                 break
-            score = np.zeros(BLOCK)
-            for t, w in terms:
-                lo, hi = np.searchsorted(self.at[t], (b * BLOCK, (b + 1) * BLOCK))
-                if hi > lo:
-                    score[self.at[t][lo:hi] - b * BLOCK] += w * self.w[t][lo:hi]
-            for i in np.flatnonzero(score):
-                row = int(self.rows[b * BLOCK + i])
-                if row != without:
-                    found.append((float(score[i]), row))
-            found.sort(key=lambda x: (-round(x[0], 12), x[1]))
-            del found[k:]
-        return found
+            lo, hi = b * BLOCK, min(self.n, (b + 1) * BLOCK)
+            x, y = self.start[lo], self.start[hi]
+            score = np.bincount(self.row[x:y] - lo, self.weights[x:y] * self.query[self.terms[x:y]], hi - lo).round(12)
+            at = np.flatnonzero(score > (best_s[-1] - 1e-9 if len(best_s) >= k else 0))
+            at = at[self.rows[lo + at] != without]
+            if len(at):
+                best_s, best_r = np.append(best_s, score[at]), np.append(best_r, self.rows[lo + at])
+                first = np.lexsort((best_r, -best_s))[:k]
+                best_s, best_r = best_s[first], best_r[first]
+        self.query[terms] = 0
+        return list(zip(best_s.tolist(), best_r.tolist()))
 
 
 class ToxicityModel:
@@ -117,7 +115,7 @@ class ToxicityModel:
         self.a, self.b = calibrate(votes, toxic)
 
     def vector(self, text: str | None) -> dict[int, float]:
-        return unit(features(words_of(text)), self.terms, self.idf)
+        return unit(term_counts(text, self.terms), self.idf)
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Share of the toxic among the nearest, weighted by 1 / (distance + 0.1); two shares of a half keep few votes from being sure."""
@@ -134,8 +132,19 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-(self.a * self.vote(near) + self.b)))), near
 
 
-def unit(counts: Counter, terms: dict[str, int], idf: np.ndarray) -> dict[int, float]:
-    v = {terms[f]: (1 + math.log(n)) * idf[terms[f]] for f, n in counts.items() if f in terms}
+def term_counts(text: str | None, terms: dict[str, int]) -> Counter:
+    """How often each known term occurs in a text."""
+    out: Counter = Counter()
+    for w, n in words_of(text).items():
+        if w in terms:
+            out[terms[w]] += n
+        if len(w) > 5 and (f := w[:5] + "~") in terms:
+            out[terms[f]] += n
+    return out
+
+
+def unit(counts: Counter, idf: np.ndarray) -> dict[int, float]:
+    v = {t: (1 + math.log(n)) * float(idf[t]) for t, n in counts.items()}
     length = math.sqrt(sum(x * x for x in v.values()))
     return {t: x / length for t, x in v.items()} if length else {}
 
@@ -167,6 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     if n > max_labelled:
         marks = marks.where(F.pmod(F.xxhash64(F.lit("fit"), F.col(key)), F.lit(1 << 30)) < int((1 << 30) * max_labelled / n))
     rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("text")).join(marks.withColumnRenamed(key, "_k"), "_k")
+    rows = materialise(rows, "tox-labelled")
     have = {r["_y"]: r["n"] for r in rows.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = have.get(0, 0), have.get(1, 0)
     terms = select_terms(rows, n0, n1) if n0 and n1 else []
@@ -176,24 +186,23 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
         def work(block):
             df = np.zeros(len(place), dtype=np.int64)
             for t in texts(block):
-                for f in features(words_of(t)):
-                    if f in place:
-                        df[place[f]] += 1
+                for i in term_counts(t, place):
+                    df[i] += 1
             at = np.flatnonzero(df)
-            return {"t": at, "n": df[at], "docs": np.zeros(len(at), dtype=np.int64)}
+            return {"t": at, "n": df[at]}
 
         return work
 
     n_docs = docs.count()
     df = np.zeros(len(terms))
     if terms:
-        for r in map_blocks(docs.select(F.col(text).alias("text")), count_docs, "t long, n long, docs long").groupBy("t").agg(F.sum("n").alias("n")).collect():
+        for r in map_blocks(docs.select(F.col(text).alias("text")), count_docs, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():
             df[r["t"]] = r["n"]
     idf = np.log((1 + n_docs) / (1 + df)) + 1
 
     def examples():
         def work(block):
-            vs = [unit(features(words_of(t)), place, idf) for t in texts(block)]
+            vs = [unit(term_counts(t, place), idf) for t in texts(block)]
             return {"id": [str(x) for x in column(block, "_k").to_pylist()], "t": [list(v) for v in vs], "w": [list(v.values()) for v in vs], "y": column(block, "_y").to_pylist()}
 
         return work
