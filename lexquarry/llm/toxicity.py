@@ -1,6 +1,6 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are words and five-letter word beginnings whose presence differs between the labels by more than chance would
+Terms are words and frequent word beginnings whose presence differs between the labels by more than chance would
 give over the whole vocabulary; their inverse document frequencies are counted over all documents.  The labelled
 examples that hold such a term (a bounded sample) form an inverted index in blocks.  For a document, the largest
 weights of each term in each block bound the cosines of that block; blocks are opened by falling bound until no
@@ -24,6 +24,8 @@ from .util import column, fold, map_blocks, materialise, table, texts
 
 #: Labelled rows that the fit uses at most, terms, and neighbours.
 MAX_LABELLED, MAX_TERMS, NEIGHBOURS, BLOCK = 20_000, 4096, 15, 64
+#: Letters of the word beginnings, and the counts that are marked.
+BEGINNINGS, COUNTS = (4, 5), (1, 2, 4, 8)
 _SPLIT = re.compile(r"[\W\d_]+")
 
 
@@ -31,12 +33,21 @@ def words_of(text: str | None) -> Counter:
     return Counter(filter(None, _SPLIT.split((text or "").lower())))
 
 
-def features(counts: Counter) -> Counter:
-    """Words, and word beginnings of five letters (marked by a tilde)."""
-    out = Counter(counts)
+def features(counts: Counter, known=None) -> Counter:
+    """Words with their counts, and marks ``beginning~n`` of word beginnings that occur n times at least.
+
+    The marks tell a text that holds one such word by chance from one that is full of them, which the length of a
+    cosine's vectors hides.  known: the beginnings to look at (all, if none are given).
+    """
+    out, begun = Counter(counts), Counter()
     for w, n in counts.items():
-        if len(w) > 5:
-            out[w[:5] + "~"] += n
+        for k in BEGINNINGS:
+            if len(w) >= k and (known is None or w[:k] in known):
+                begun[w[:k]] += n
+    for f, n in begun.items():
+        for c in COUNTS:
+            if n >= c:
+                out[f"{f}~{c}"] = 1
     return out
 
 
@@ -107,7 +118,7 @@ class BlockMaxIndex:
 
 class ToxicityModel:
     def __init__(self, terms: list[str], idf: np.ndarray, ids: list, vectors: list[dict], toxic: np.ndarray, empty: tuple[int, int], k: int = NEIGHBOURS):
-        self.terms = {t: i for i, t in enumerate(terms)}
+        self.terms, self.known = {t: i for i, t in enumerate(terms)}, beginnings(terms)
         self.idf, self.ids, self.toxic, self.k = idf, ids, toxic, k
         self.index = BlockMaxIndex(vectors, len(terms))
         self.empty_score = (empty[1] + 0.5) / (sum(empty) + 1)
@@ -115,7 +126,7 @@ class ToxicityModel:
         self.a, self.b = calibrate(votes, toxic)
 
     def vector(self, text: str | None) -> dict[int, float]:
-        return unit(term_counts(text, self.terms), self.idf)
+        return unit(term_counts(text, self.terms, self.known), self.idf)
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Share of the toxic among the nearest, weighted by 1 / (distance + 0.1); two shares of a half keep few votes from being sure."""
@@ -132,15 +143,13 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-(self.a * self.vote(near) + self.b)))), near
 
 
-def term_counts(text: str | None, terms: dict[str, int]) -> Counter:
+def beginnings(terms) -> frozenset:
+    return frozenset(t.partition("~")[0] for t in terms if "~" in t)
+
+
+def term_counts(text: str | None, terms: dict[str, int], known: frozenset) -> Counter:
     """How often each known term occurs in a text."""
-    out: Counter = Counter()
-    for w, n in words_of(text).items():
-        if w in terms:
-            out[terms[w]] += n
-        if len(w) > 5 and (f := w[:5] + "~") in terms:
-            out[terms[f]] += n
-    return out
+    return Counter({terms[f]: n for f, n in features(words_of(text), known).items() if f in terms})
 
 
 def unit(counts: Counter, idf: np.ndarray) -> dict[int, float]:
@@ -180,13 +189,13 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     have = {r["_y"]: r["n"] for r in rows.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = have.get(0, 0), have.get(1, 0)
     terms = select_terms(rows, n0, n1) if n0 and n1 else []
-    place = {t: i for i, t in enumerate(terms)}
+    place, known = {t: i for i, t in enumerate(terms)}, beginnings(terms)
 
     def count_docs():
         def work(block):
             df = np.zeros(len(place), dtype=np.int64)
             for t in texts(block):
-                for i in term_counts(t, place):
+                for i in term_counts(t, place, known):
                     df[i] += 1
             at = np.flatnonzero(df)
             return {"t": at, "n": df[at]}
@@ -202,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
 
     def examples():
         def work(block):
-            vs = [unit(term_counts(t, place), idf) for t in texts(block)]
+            vs = [unit(term_counts(t, place, known), idf) for t in texts(block)]
             return {"id": [str(x) for x in column(block, "_k").to_pylist()], "t": [list(v) for v in vs], "w": [list(v.values()) for v in vs], "y": column(block, "_y").to_pylist()}
 
         return work
