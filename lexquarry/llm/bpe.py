@@ -1,7 +1,7 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash over the characters cuts texts into chunks, so that passages which documents share fall into the same
-chunks wherever they stand.  A task encodes a chunk once and uses the result for every document that holds it.  The
+chunks wherever they stand.  A worker encodes a chunk once and uses the result for every document that holds it, as long as its bounded memory reaches.  The
 pieces at the two ends of a chunk (up to the next blank) may go on in its neighbours; at each join the piece that
 crosses it is encoded anew, over more chunks if need be, until blanks stand on both of its sides.  A token of these
 vocabularies never crosses a blank, so the sequence is then exactly that of the whole text.
@@ -22,7 +22,7 @@ from .util import column, map_blocks, table, texts
 #: Characters that the rolling hash sees, and bits that must be zero for a cut: chunks have 2 ** CUT_BITS characters on average.
 WINDOW, CUT_BITS = 16, 10
 #: What a worker remembers: pieces, and characters of chunks.
-MEMO_PIECES, MEMO_CHARS = 300_000, 16 << 20
+MEMO_PIECES, MEMO_CHARS = 800_000, 8 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,17 +53,28 @@ def default_path(name: str = "word_bpe_49k.json") -> str:
 class ChunkEncoder:
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
+        self.texts = {i: t for t, i in tokenizer.get_vocab().items()}
         self.pieces: dict[str, tuple[int, str, str]] = {}
         self.chunks: dict[str, tuple | None] = {}
         self.held = 0
         self.encoded = self.reused = 0
 
     def learn(self, pieces: list[str]) -> None:
-        """Encode pieces that are not known yet, in one call."""
-        tokens = self.tokenizer.id_to_token
-        for p, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
+        """Encode pieces that are not known yet, in one call.
+
+        A full stop or comma after a Latin letter (one that stays a letter in lower case) is always a token of its own, so such a piece is put together from its word's.
+        """
+        ends = [p for p in pieces if len(p) > 1 and p[-1] in ".," and p[-2] < "\u0250" and p[-2].lower().isalpha()]
+        held = set(ends)
+        plain = {p for p in pieces if p not in held} | {p[:-1] for p in ends} | ({".", ","} if ends else set())
+        words = [p for p in plain if p not in self.pieces]
+        tokens = self.texts
+        for p, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
             ids = e.ids
-            self.pieces[p] = (len(ids), " ".join(map(str, ids)), " ".join(map(tokens, ids)))
+            self.pieces[p] = (len(ids), " ".join(map(str, ids)), " ".join([tokens[i] for i in ids]))
+        for p in ends:
+            (n, ids, texts), (m, ids2, texts2) = self.pieces[p[:-1]], self.pieces[p[-1]]
+            self.pieces[p] = (n + m, f"{ids} {ids2}", f"{texts} {texts2}")
 
     def piece(self, p: str) -> tuple[int, str, str]:
         if (found := self.pieces.get(p)) is None:
@@ -75,8 +86,9 @@ class ChunkEncoder:
         """(head, tokens, ids, texts, tail): the pieces at the ends, which joins decide, and what lies between; None without a blank."""
         if len(split) == 1:
             return None
-        inner = [r for r in map(self.piece, filter(None, split[1:-1])) if r[0]]
-        return split[0], sum(r[0] for r in inner), " ".join([r[1] for r in inner]), " ".join([r[2] for r in inner]), split[-1]
+        known = self.pieces
+        inner = [r for p in split[1:-1] if p and (r := known[p])[0]]
+        return split[0], sum([r[0] for r in inner]), " ".join([r[1] for r in inner]), " ".join([r[2] for r in inner]), split[-1]
 
     def encode(self, docs: list[str]) -> list[tuple[int, str, str]]:
         """For each text the number of tokens, the ids and the token strings, each joined by blanks."""
@@ -121,6 +133,16 @@ class ChunkEncoder:
         return n, " ".join(ids), " ".join(toks)
 
 
+_ENCODERS: dict[str | None, ChunkEncoder] = {}
+
+
+def encoder_of(path: str | None) -> ChunkEncoder:
+    """A worker's encoder; it stays for the tasks to come."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = ChunkEncoder(load(path))
+    return _ENCODERS[path]
+
+
 def load(path: str | None):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -137,7 +159,7 @@ def _over(docs: DataFrame, added: str, fill: Callable[[list[tuple[int, str, str]
     names = base.columns
 
     def make():
-        encoder = ChunkEncoder(load(path))
+        encoder = encoder_of(path)
 
         def work(block):
             return {f: column(block, f) for f in names} | fill(encoder.encode([t or "" for t in texts(block, text)]))
