@@ -1,14 +1,61 @@
-"""A corpus pipeline of five stages; each is written as Parquet and read again as the next one's documents."""
+"""A corpus pipeline of five stages; each is written as Parquet and read again as the next one's documents.
+
+toxicity      documents that the nearest labelled examples call toxic go
+near_dedup    of each component of near-duplicates (five-word shingles, similarity of 0.85 or more) the smallest doc_id stays
+pii           personal data is replaced by surrogates in what is left
+mixing        sources are mixed to their target weights; a document that is taken twice comes twice, one that is taken in
+              part comes with the words of its blocks that are taken
+bpe           every text is encoded and decoded; the last stage's rows carry the number of tokens and both digests
+"""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from lexquarry.llm import bpe, mixing, neardup, pii, toxicity
 from lexquarry.llm.util import shared_dir
 
-STAGES: list = []
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _documents(df: DataFrame) -> DataFrame:
+    """The columns of documents, with n_chars as the text is now."""
+    return df.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below 0.7.  All labels train it; a null or empty text stays."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.train(docs, labels)
+    return toxicity.score(docs, model).where("predicted = 0").select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component stays: the one with the smallest doc_id (of rows that share it, the first by text)."""
+    kept = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    order = Window.partitionBy("doc_id").orderBy("text", "lang", "source")
+    rows = docs.join(kept, "doc_id", "left_semi").withColumn("_first", F.row_number().over(order)).where("_first = 1")
+    return rows.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _documents(pii.replace_pii(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _documents(mixing.taken_texts(mixing.mix(docs)))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_tokens, ids_sha256, decoded_sha256 of every text."""
+    return bpe.digests(docs).select("doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_duplicates), ("pii", replace_personal_data), ("mixing", mix_sources), ("bpe", encode)]
+#: The stages train a model and hash shingles; SQL can't express them.  The tests hold them against plain versions.
 ORACLE_SQL = None
 
 
