@@ -8,7 +8,7 @@ under every chunk with up to that many places left out, and every such pair meet
 the full sets.
 
 Equal sets are one class from the start, and buckets with the same members are one bucket.  Within a bucket members are
-first tried against the bucket's smallest; only buckets whose members then still lie in different components give
+first tried against its lead, the one with the fewest shingles of its own; only buckets whose members then still lie in different components give
 further pairs, and only between components: a link inside a component changes nothing.
 """
 
@@ -27,6 +27,8 @@ from .util import column, map_blocks, materialise, table
 #: Words of a shingle, minima, and the chunks of the signature with the errors allowed in each.
 SHINGLE, HASHES, MOST_ERRORS, CHUNKS = 5, 64, 23, 12
 ERRORS = MOST_ERRORS // CHUNKS
+#: Names of shingles that are counted together, about.
+SHARD_NAMES = 1 << 20
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _ODD = np.random.default_rng(20).integers(1, 1 << 62, 2 * HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
@@ -118,18 +120,55 @@ def _errors(x: str, y: str):
     return reduce(lambda p, q: p + q, [(F.substring(x, 2 * i + 1, 2) != F.substring(y, 2 * i + 1, 2)).cast("int") for i in range(HASHES)])
 
 
-def confirmed(pairs: DataFrame, heads: DataFrame, docs: DataFrame, percent: int, label: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough.
+def _packed(shards: int):
+    def work(block: pa.RecordBatch) -> dict:
+        out: dict[str, list] = {"shard": [], "rep": [], "h": [], "names": []}
+        for rep, text in zip(column(block, "doc_id").to_pylist(), column(block, "text").to_pylist()):
+            names, h = shingles(text), xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass")) >> 1
+            at = (names % np.uint64(shards)).astype(np.int64)
+            names = names[np.argsort(at, kind="stable")]
+            for k, n in zip(*np.unique(at, return_counts=True)):
+                out["shard"].append(int(k))
+                out["rep"].append(rep)
+                out["h"].append(h)
+                out["names"].append(names[:n].tobytes())
+                names = names[n:]
+        return out
+
+    return work
+
+
+def _alone(t: pa.Table) -> pa.Table:
+    """How many shingles of each document are in no other, within a shard of names."""
+    parts = [np.frombuffer(x, dtype=np.uint64) for x in t.column("names").to_pylist()]
+    _, inverse, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    once = count[inverse] == 1
+    ends = np.cumsum([len(x) for x in parts])
+    return pa.table({"rep": t.column("rep"), "h": t.column("h"), "own": np.diff(np.append(0, np.cumsum(once)[ends - 1])).astype(np.int64)})
+
 
-    Sizes and signatures (heads) rule out most false pairs before any text moves; the texts of the documents that are
-    left are gathered once and meet their pairs by joins that can split a frequent document.
+def own_shingles(texts: DataFrame, total: int) -> DataFrame:
+    """(rep, own): shingles that no other of the texts has.
+
+    What a document has alone can't be in an intersection, so this bounds its similarity to any other; in a group of
+    copies with differing edits it rules out most pairs that signatures can't.
     """
-    left, right = (heads.select(F.col("rep").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sig").alias(f"sig_{k}")) for k in "ab")
-    fit = pairs.join(left, "a").join(right, "b").where((F.least("n_a", "n_b") * 100 >= percent * F.greatest("n_a", "n_b")) & (_errors("sig_a", "sig_b") <= MOST_ERRORS))
-    fit = materialise(fit.select("a", "b").distinct(), f"{label}-pairs")
-    wanted = fit.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    held = materialise(docs.join(wanted, "doc_id", "left_semi"), f"{label}-texts")
-    both = fit.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    shards = max(1, -(-total // SHARD_NAMES))
+    packed = map_blocks(texts, lambda: _packed(shards), "shard long, rep long, h long, names binary")
+    each = packed.groupBy("shard").applyInArrow(_alone, "rep long, h long, own long").groupBy("rep", "h").agg(F.sum("own").alias("own"))
+    return each.groupBy("rep").agg(F.when(F.count("*") == 1, F.max("own")).otherwise(0).alias("own"))  # a key with several texts: no bound
+
+
+def _near(percent: int, n_a: str, n_b: str, own_a: str, own_b: str, sig_a: str, sig_b: str):
+    """Whether sizes, lone shingles and signatures leave a pair a chance."""
+    need = (F.col(n_a) + F.col(n_b)) * percent / (100.0 + percent) - 1e-6  # of the intersection, for the similarity asked for
+    return (F.least(F.col(n_a) - F.col(own_a), F.col(n_b) - F.col(own_b)) >= need) & (_errors(sig_a, sig_b) <= MOST_ERRORS)
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, label: str) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough; a frequent document's pairs can be split by the joins."""
+    pairs = materialise(pairs.distinct(), f"{label}-pairs")
+    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     return materialise(map_blocks(both, lambda: _confirm(percent), "a long, b long", weigh="text_a").distinct(), f"{label}-links")
 
 
@@ -170,22 +209,32 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     members = materialise(whole.select("doc_id", "set_key").join(heads.select("set_key", "rep"), "set_key").select("doc_id", "rep").distinct(), "dup-members")
     entries = map_blocks(heads.select("rep", "sig"), lambda: _filed, "rep long, keys array<long>", weigh="sig").select("rep", F.explode("keys").alias("bucket"))
     entries = materialise(entries, "dup-entries")
-    shared = entries.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead <> last").select("bucket", "lead")
+    shared = entries.groupBy("bucket").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("bucket")
     buckets = materialise(entries.join(shared, "bucket"), "dup-buckets")
+    # only documents that share a bucket can have links; their texts are gathered once
+    wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
+    held = materialise(lean.join(wanted, "doc_id", "left_semi"), "dup-texts")
+    total = heads.join(wanted, heads["rep"] == wanted["doc_id"], "left_semi").agg(F.sum("n_shingles")).head()[0] or 0
+    facts = materialise(heads.select("rep", "n_shingles", "sig").join(own_shingles(held, total), "rep"), "dup-facts")
+    # the member with the fewest shingles of its own leads a bucket: the others are most alike to it
+    leads = buckets.join(facts.select("rep", "n_shingles", (F.col("own") / F.col("n_shingles")).alias("odd")), "rep").groupBy("bucket").agg(F.min(F.struct("odd", "rep"))["rep"].alias("lead"))
+    buckets = materialise(buckets.join(leads, "bucket"), "dup-led")
+    ends = [facts.select(F.col("rep").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("own").alias(f"own_{k}"), F.col("sig").alias(f"sig_{k}")) for k in "ab"]
     stars = buckets.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    links = confirmed(stars, heads, lean, percent, "dup-first")
+    stars = stars.join(ends[0], "a").join(ends[1], "b").where(_near(percent, "n_a", "n_b", "own_a", "own_b", "sig_a", "sig_b")).select("a", "b")
+    links = confirmed(stars, held, percent, "dup-first")
     same_key = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
     first = components(links.unionByName(same_key), "dup-first")
     # what stays open: buckets whose members lie in several components
     comp = F.coalesce("comp", "rep")
     tagged = buckets.join(first, "rep", "left").select("bucket", "rep", "lead", comp.alias("comp"))
     mixed_up = tagged.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
-    # a bucket of two has been tried in full
-    still = tagged.join(mixed_up, "bucket").where("rep <> lead").join(heads.select("rep", "sig"), "rep")
+    # the pairs of the lead have been tried; who has too many shingles of its own has no partner of any size
+    still = tagged.join(mixed_up, "bucket").where("rep <> lead").join(facts, "rep").where(F.col("own") * 100 <= (100 - percent) * F.col("n_shingles"))
     still = materialise(still, "dup-open")
     l, r = still.alias("l"), still.alias("r")
-    cross = l.join(r, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.rep") < F.col("r.rep")) & (F.col("l.comp") != F.col("r.comp")) & (_errors("l.sig", "r.sig") <= MOST_ERRORS))
-    more = confirmed(cross.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct(), heads, lean, percent, "dup-more")
+    cross = l.join(r, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.rep") < F.col("r.rep")) & (F.col("l.comp") != F.col("r.comp")) & _near(percent, "l.n_shingles", "r.n_shingles", "l.own", "r.own", "l.sig", "r.sig"))
+    more = confirmed(cross.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")), held, percent, "dup-more")
     final = first if more.isEmpty() else components(links.unionByName(same_key).unionByName(more), "dup-all")
     placed = members.groupBy("doc_id").agg(F.min("rep").alias("rep")).join(final, "rep", "left").select("doc_id", comp.alias("comp"))
     out = built.select("doc_id", "n_shingles").join(placed, "doc_id", "left")
