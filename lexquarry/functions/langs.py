@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections import Counter
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,22 +70,17 @@ def script_of(text: str) -> str | None:
     return max(RANGES, key=lambda s: count[s]) if count else None
 
 
-def script_column(text: Column) -> Column:
-    """:func:`script_of` as a column; Latin for texts without letters."""
-    counts = [F.struct(F.regexp_count(text, F.lit(f"(?=\\p{{L}}){regex_class(s)}")).alias("n"), F.lit(-i).alias("o"), F.lit(s).alias("s")) for i, s in enumerate(RANGES)]
-    best = F.greatest(*counts)
-    return F.when(best["n"] > 0, best["s"]).otherwise("latin")
-
-
 def stays_in_script(term: Column, word: Column) -> Column:
-    """Whether what word adds to term is written in the term's script.  Most terms are Latin, which is tested first."""
+    """Whether what word adds to term is written in the term's script.
+
+    A term of Latin letters and common signs is Latin; another is of the first script that it has a letter of.
+    """
     suffix = F.substring(word, F.length(term) + 1, F.length(word))
-    in_latin = suffix.rlike(f"^{regex_class('latin')}*$")
-    latin = term.rlike(r"^[\x{0000}-\x{024F}]*$")
-    others = F.lit(False)
+    within = lambda s: suffix.rlike(f"^{regex_class(s)}*$")
+    others = within("latin")
     for s in reversed(list(RANGES)[1:]):
-        others = F.when(script_column(term) == s, suffix.rlike(f"^{regex_class(s)}*$")).otherwise(others)
-    return F.when(latin, in_latin).otherwise(F.when(script_column(term) == "latin", in_latin).otherwise(others))
+        others = F.when(term.rlike(regex_class(s)), within(s)).otherwise(others)
+    return F.when(term.rlike(r"^[\x{0000}-\x{024F}]*$"), within("latin")).otherwise(others)
 
 
 def guess_by_stopwords(text: str, script: str) -> str | None:
@@ -92,8 +88,7 @@ def guess_by_stopwords(text: str, script: str) -> str | None:
     found = [unicodedata.normalize("NFKD", w) for w in text.split()]
     best, most = None, 0
     for x in LANGS[script]:
-        held = frozenset(stopwords.words(x))
-        n = sum(w in held for w in found)
+        n = sum(w in stopwords._set(x) for w in found)
         if n > most:
             best, most = x, n
     return best
@@ -140,10 +135,12 @@ def detect(text: str | None) -> str | None:
 
 def detect_udf():
     """:func:`detect` as an Arrow-batched function of a text column; only the head of a text is sent to it."""
-    import pandas as pd
+
+    lists = stopwords.every()
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
+        stopwords.give(lists)
         return texts.map(detect)
 
     return lambda c: run(F.substring(c, 1, MOST_BYTES))

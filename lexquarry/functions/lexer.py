@@ -93,7 +93,7 @@ def lex(text: Column, config: Config) -> Column:
         split = lambda s: F.array(token(True, s["term"], s["term"]))
     found = specials(text)
     none = F.array().cast("array<struct<special:boolean,term:string,bytes:int>>")
-    mixed = F.transform(gaps, lambda g, i: F.concat(plain(g), F.coalesce(split(F.try_element_at(found, i + 1)), none)))
+    mixed = F.transform(gaps, lambda g, i: F.concat(plain(g), F.when(i < F.size(found), split(F.get(found, i))).otherwise(none)))
     return F.when(F.size(found) > 0, F.flatten(mixed)).otherwise(plain(text))
 
 

@@ -15,11 +15,26 @@ LISTS = {"dan": "danish", "deu": "german", "eng": "english", "fin": "finnish", "
 CODES = {"da": "dan", "de": "deu", "en": "eng", "fi": "fin", "fr": "fra", "hu": "hun", "it": "ita", "nl": "nld", "no": "nob", "nb": "nob", "pt": "por", "ru": "rus", "es": "spa", "sv": "swe", "tr": "tur"}
 
 
+_GIVEN: dict[str, tuple[str, ...]] = {}
+
+
+def every() -> dict[str, tuple[str, ...]]:
+    """All lists, to be sent to workers, which may have no jar files."""
+    return {x: words(x) for x in LISTS}
+
+
+def give(lists: dict[str, tuple[str, ...]]) -> None:
+    if not _GIVEN:
+        _GIVEN.update(lists)
+
+
 @functools.cache
 def words(lang: str) -> tuple[str, ...]:
     """The stop-words of a language, lower-case, NFKD, sorted; none for a language without a list."""
     if lang not in LISTS:
         return ()
+    if lang in _GIVEN:
+        return _GIVEN[lang]
     import pyspark
 
     jar = next(pathlib.Path(pyspark.__file__).parent.glob("jars/spark-mllib_*.jar"))
@@ -28,6 +43,11 @@ def words(lang: str) -> tuple[str, ...]:
     return tuple(sorted({unicodedata.normalize("NFKD", w.strip().lower()) for w in found.splitlines() if w.strip()}))
 
 
+@functools.cache
+def _set(lang: str) -> frozenset:
+    return frozenset(words(lang))
+
+
 def frame(spark: SparkSession, langs=tuple(LISTS)) -> DataFrame:
     """(lang, lang_order, term); a fixed table of a few thousand rows."""
     rows = [(x, i, w) for i, x in enumerate(langs) for w in words(x)]
@@ -39,4 +59,4 @@ def is_stopword(word: str, lang: str | None, allow=(), deny=()) -> bool:
     w = unicodedata.normalize("NFKD", word)
     if w in deny:
         return True
-    return lang is not None and w not in allow and w in words(lang)
+    return lang is not None and w not in allow and w in _set(lang)
