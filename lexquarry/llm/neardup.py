@@ -27,6 +27,7 @@ from .util import column, map_blocks, materialise, table
 #: Words of a shingle, minima, and the chunks of the signature with the errors allowed in each.
 SHINGLE, HASHES, MOST_ERRORS, CHUNKS = 5, 64, 23, 12
 ERRORS = MOST_ERRORS // CHUNKS
+assert ERRORS == 1  # _first_meeting counts on it
 #: Names of shingles that are counted together, about.
 SHARD_NAMES = 1 << 20
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -117,7 +118,29 @@ def _confirm(percent: int):
 
 def _errors(x: str, y: str):
     """Hashes at which two signatures (binary columns) differ."""
-    return reduce(lambda p, q: p + q, [(F.substring(x, 2 * i + 1, 2) != F.substring(y, 2 * i + 1, 2)).cast("int") for i in range(HASHES)])
+    return _errors_in(x, y, range(HASHES))
+
+
+def _errors_in(x: str, y: str, places):
+    return reduce(lambda p, q: p + q, [(F.substring(x, 2 * i + 1, 2) != F.substring(y, 2 * i + 1, 2)).cast("int") for i in places])
+
+
+def _first_meeting(k: str, x: str, y: str):
+    """Whether key number k is the first of those under which a pair of signatures is filed alike.
+
+    The first chunk with one error at most decides: with one, a single key of it leaves that place out; with none, its
+    first key counts.  So each pair is met once, however many buckets it shares.
+    """
+    cut = [HASHES * i // CHUNKS for i in range(CHUNKS + 1)]
+    chunk_of = [next(c for c in range(CHUNKS) if kept[0] < cut[c + 1]) for kept in _PLAN]
+    errors = [_errors_in(x, y, range(a, b)) for a, b in zip(cut, cut[1:])]
+    chunk, wrong = F.lit(CHUNKS), F.lit(0)
+    for c in reversed(range(CHUNKS)):
+        chunk, wrong = F.when(errors[c] <= 1, c).otherwise(chunk), F.when(errors[c] <= 1, errors[c]).otherwise(wrong)
+    at = F.col(k)
+    mine = F.get(F.array(*map(F.lit, chunk_of)), at)
+    opens = F.get(F.array(*[F.lit(i == 0 or chunk_of[i - 1] != c) for i, c in enumerate(chunk_of)]), at)
+    return (mine == chunk) & ((wrong == 1) | opens)
 
 
 def _packed(shards: int):
@@ -207,7 +230,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     classes = whole.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     heads = materialise(classes, "dup-classes")
     members = materialise(whole.select("doc_id", "set_key").join(heads.select("set_key", "rep"), "set_key").select("doc_id", "rep").distinct(), "dup-members")
-    entries = map_blocks(heads.select("rep", "sig"), lambda: _filed, "rep long, keys array<long>", weigh="sig").select("rep", F.explode("keys").alias("bucket"))
+    entries = map_blocks(heads.select("rep", "sig"), lambda: _filed, "rep long, keys array<long>", weigh="sig").select("rep", F.posexplode("keys").alias("k", "bucket"))
     entries = materialise(entries, "dup-entries")
     shared = entries.groupBy("bucket").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("bucket")
     buckets = materialise(entries.join(shared, "bucket"), "dup-buckets")
@@ -227,13 +250,13 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     first = components(links.unionByName(same_key), "dup-first")
     # what stays open: buckets whose members lie in several components
     comp = F.coalesce("comp", "rep")
-    tagged = buckets.join(first, "rep", "left").select("bucket", "rep", "lead", comp.alias("comp"))
+    tagged = buckets.join(first, "rep", "left").select("bucket", "k", "rep", "lead", comp.alias("comp"))
     mixed_up = tagged.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
     # the pairs of the lead have been tried; who has too many shingles of its own has no partner of any size
     still = tagged.join(mixed_up, "bucket").where("rep <> lead").join(facts, "rep").where(F.col("own") * 100 <= (100 - percent) * F.col("n_shingles"))
     still = materialise(still, "dup-open")
     l, r = still.alias("l"), still.alias("r")
-    cross = l.join(r, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.rep") < F.col("r.rep")) & (F.col("l.comp") != F.col("r.comp")) & _near(percent, "l.n_shingles", "r.n_shingles", "l.own", "r.own", "l.sig", "r.sig"))
+    cross = l.join(r, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.rep") < F.col("r.rep")) & (F.col("l.comp") != F.col("r.comp")) & _first_meeting("l.k", "l.sig", "r.sig") & _near(percent, "l.n_shingles", "r.n_shingles", "l.own", "r.own", "l.sig", "r.sig"))
     more = confirmed(cross.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")), held, percent, "dup-more")
     final = first if more.isEmpty() else components(links.unionByName(same_key).unionByName(more), "dup-all")
     placed = members.groupBy("doc_id").agg(F.min("rep").alias("rep")).join(final, "rep", "left").select("doc_id", comp.alias("comp"))

@@ -85,3 +85,18 @@ def test_components_of_a_long_chain(spark):
     for r in neardup.components(links).collect():
         found[r.comp].add(r.rep)
     assert found == {0: set(range(n)), 500: {500, 501}}
+
+
+def test_a_pair_is_met_once(spark):
+    rng, np = random.Random(6), neardup.np
+    rows, want = [], []
+    for pair in range(60):
+        a = np.array([rng.randrange(1 << 16) for _ in range(neardup.HASHES)], dtype=np.uint16)
+        b = a.copy()
+        for i in rng.sample(range(neardup.HASHES), rng.choice([0, 1, 3, 12, 23, 30])):
+            b[i] ^= 5
+        x, y = neardup.keys(a), neardup.keys(b)
+        rows += [(pair, int(k), a.tobytes(), b.tobytes()) for k in np.flatnonzero(x == y)]
+        want += [(pair, 1)] if (x == y).any() else []
+    df = spark.createDataFrame(rows, "pair int, k int, x binary, y binary").where(neardup._first_meeting("k", "x", "y"))
+    assert sorted((r["pair"], r["count"]) for r in df.groupBy("pair").count().collect()) == want
