@@ -24,6 +24,10 @@ from .util import column, fold, map_blocks, materialise, table, texts
 
 #: Labelled rows that the fit uses at most, terms, and neighbours.
 MAX_LABELLED, MAX_TERMS, NEIGHBOURS, BLOCK = 20_000, 4096, 15, 64
+#: How much more often than overall the texts with a term are toxic, at least.
+LIFT = 3.0
+#: Results that a worker remembers.
+MEMO = 50_000
 #: Letters of the word beginnings, and the counts that are marked.
 BEGINNINGS, COUNTS = (4, 5), (1, 2, 4, 8)
 _SPLIT = re.compile(r"[\W\d_]+")
@@ -70,7 +74,8 @@ def select_terms(rows: DataFrame, n0: int, n1: int, most: int = MAX_TERMS) -> li
     a, b = F.col("a"), F.col("b")
     both = a + b
     g = 2 * (x(a, both * (n0 / n)) + x(b, both * (n1 / n)) + x(n0 - a, (n - both) * (n0 / n)) + x(n1 - b, (n - both) * (n1 / n)))
-    ranked = counts.withColumn("g", g).where(F.col("g") > 10).orderBy(F.col("g").desc(), "term").limit(most)
+    lifted = b / both >= min(0.5, LIFT * n1 / n)  # terms that speak for a toxic text, not those of a language or topic
+    ranked = counts.where(lifted).withColumn("g", g).where(F.col("g") > 10).orderBy(F.col("g").desc(), "term").limit(most)
     size = max(2, counts.count())
     least = max(10.0, 2 * math.log(size) - math.log(math.log(size)) - 1.14)
     return sorted(r["term"] for r in ranked.collect() if r["g"] >= least)
@@ -79,41 +84,51 @@ def select_terms(rows: DataFrame, n0: int, n1: int, most: int = MAX_TERMS) -> li
 class BlockMaxIndex:
     """Unit vectors in blocks of rows; exact k nearest by cosine.
 
-    ``peaks`` holds the largest weight of each term in each block; the rows of a block lie together and are scored at once.
+    Equal vectors are one entry that stands for its rows.  ``peaks`` holds the largest weight of each term in each block;
+    the entries of a block lie together and are scored at once.
     """
 
     def __init__(self, vectors: list[dict[int, float]], n_terms: int):
-        self.n, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
-        order = sorted(range(self.n), key=lambda i: sorted(vectors[i].items(), key=lambda x: -x[1])[:2])  # alike rows share blocks
-        self.rows = np.array(order, dtype=np.int64)
-        self.terms = np.array([t for i in order for t in vectors[i]], dtype=np.int64)
-        self.weights = np.array([w for i in order for w in vectors[i].values()])
-        self.start = np.cumsum([0] + [len(vectors[i]) for i in order])
-        self.row = np.repeat(np.arange(self.n), np.diff(self.start))
+        alike: dict[tuple, list[int]] = {}
+        for i, v in enumerate(vectors):
+            alike.setdefault(tuple(sorted((t, round(w, 12)) for t, w in v.items())), []).append(i)
+        order = sorted(alike, key=lambda v: sorted(v, key=lambda x: -x[1])[:2])  # similar entries share blocks
+        self.rows = [alike[v] for v in order]
+        self.n, self.blocks = len(order), -(-len(order) // BLOCK)
+        self.terms = np.array([t for v in order for t, _ in v], dtype=np.int64)
+        self.weights = np.array([w for v in order for _, w in v])
+        self.start = np.cumsum([0] + [len(v) for v in order])
+        self.entry = np.repeat(np.arange(self.n), np.diff(self.start))
         self.peaks = np.zeros((n_terms, self.blocks))
-        np.maximum.at(self.peaks, (self.terms, self.row // BLOCK), self.weights)
+        np.maximum.at(self.peaks, (self.terms, self.entry // BLOCK), self.weights)
         self.query = np.zeros(n_terms)
 
     def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
-        """(cosine, row) of the k largest cosines above 0, ties to the smaller row."""
+        """(cosine, row) of the k largest cosines above 0.  Blocks are opened by falling bound; ties go to the entry found
+        first, and within an entry to the smaller row."""
         terms, weights = np.fromiter(query, dtype=np.int64), np.fromiter(query.values(), dtype=float)
         bound = weights @ self.peaks[terms]
         self.query[terms] = weights
-        best_s, best_r = np.zeros(0), np.zeros(0, dtype=np.int64)
+        want = k + (without >= 0)
+        best_s, best_e = np.zeros(0), np.zeros(0, dtype=np.int64)
         for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best_s) >= k and bound[b] < best_s[-1] - 1e-9:
+            if bound[b] <= 0 or len(best_s) >= want and bound[b] <= best_s[-1]:
                 break
             lo, hi = b * BLOCK, min(self.n, (b + 1) * BLOCK)
             x, y = self.start[lo], self.start[hi]
-            score = np.bincount(self.row[x:y] - lo, self.weights[x:y] * self.query[self.terms[x:y]], hi - lo).round(12)
-            at = np.flatnonzero(score > (best_s[-1] - 1e-9 if len(best_s) >= k else 0))
-            at = at[self.rows[lo + at] != without]
+            score = np.bincount(self.entry[x:y] - lo, self.weights[x:y] * self.query[self.terms[x:y]], hi - lo)
+            at = np.flatnonzero(score > (best_s[-1] if len(best_s) >= want else 0))
             if len(at):
-                best_s, best_r = np.append(best_s, score[at]), np.append(best_r, self.rows[lo + at])
-                first = np.lexsort((best_r, -best_s))[:k]
-                best_s, best_r = best_s[first], best_r[first]
+                best_s, best_e = np.append(best_s, score[at]), np.append(best_e, lo + at)
+                first = np.argsort(-best_s, kind="stable")[:want]
+                best_s, best_e = best_s[first], best_e[first]
         self.query[terms] = 0
-        return list(zip(best_s.tolist(), best_r.tolist()))
+        found: list[tuple[float, int]] = []
+        for s, e in zip(best_s.tolist(), best_e.tolist()):
+            found += [(s, i) for i in self.rows[e][: k + 1] if i != without]
+            if len(found) >= k:
+                break
+        return found[:k]
 
 
 class ToxicityModel:
@@ -121,6 +136,7 @@ class ToxicityModel:
         self.terms, self.known = {t: i for i, t in enumerate(terms)}, beginnings(terms)
         self.idf, self.ids, self.toxic, self.k = idf, ids, toxic, k
         self.index = BlockMaxIndex(vectors, len(terms))
+        self.memo: dict[tuple, tuple] = {}
         self.empty_score = (empty[1] + 0.5) / (sum(empty) + 1)
         votes = np.array([self.vote(self.index.nearest(v, k, without=i)) for i, v in enumerate(vectors)])
         self.a, self.b = calibrate(votes, toxic)
@@ -137,10 +153,13 @@ class ToxicityModel:
         v = self.vector(text)
         if not v:
             return self.empty_score, []
-        near = self.index.nearest(v, self.k)
-        if not near:
-            return self.empty_score, []
-        return float(1 / (1 + np.exp(-(self.a * self.vote(near) + self.b)))), near
+        key = tuple(sorted(v.items()))
+        if key not in self.memo:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            near = self.index.nearest(v, self.k)
+            self.memo[key] = (float(1 / (1 + np.exp(-(self.a * self.vote(near) + self.b)))) if near else self.empty_score, near)
+        return self.memo[key]
 
 
 def beginnings(terms) -> frozenset:
@@ -226,7 +245,7 @@ def score(docs: DataFrame, model: ToxicityModel, *, text: str = "text", threshol
     """docs with score (0 to 1), predicted and evidence (the nearest labelled examples: id, cosine, toxic).
 
     Null, empty and term-free texts get the share of toxic ones among the labelled texts without terms, and no evidence.
-    Ties among neighbours go to the earlier example.  Columns of docs with the added names are replaced.
+    Ties among neighbours go to the example found first, the same one on every run.  Columns of docs with the added names are replaced.
     """
     base = docs.drop("score", "predicted", "evidence")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_labelled and MAX_TERMS
