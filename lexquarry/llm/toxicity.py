@@ -27,7 +27,7 @@ MAX_LABELLED, MAX_TERMS, NEIGHBOURS, BLOCK = 20_000, 4096, 15, 64
 #: How much more often than overall the texts with a term are toxic, at least.
 LIFT = 3.0
 #: Results that a worker remembers.
-MEMO = 50_000
+MEMO = 20_000
 #: Letters of the word beginnings, and the counts that are marked.
 BEGINNINGS, COUNTS = (4, 5), (1, 2, 4, 8)
 _SPLIT = re.compile(r"[\W\d_]+")
@@ -68,7 +68,7 @@ def _distinct_features(block: pa.RecordBatch) -> dict:
 
 def select_terms(rows: DataFrame, n0: int, n1: int, most: int = MAX_TERMS) -> list[str]:
     """Terms by the log-likelihood ratio; the limit grows with the vocabulary so that about one term passes by chance."""
-    counts = map_blocks(rows, lambda: _distinct_features, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b")).where("a + b >= 3")
+    counts = map_blocks(rows, lambda: _distinct_features, "term string, clean long, toxic long", most=1 << 19).groupBy("term").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b")).where("a + b >= 3")
     counts = materialise(counts, "tox-terms")
     x, n = lambda k, share: F.when(k > 0, k * F.log(k / share)).otherwise(0.0), float(n0 + n1)
     a, b = F.col("a"), F.col("b")

@@ -93,14 +93,14 @@ def blocks(batches: Iterable[pa.RecordBatch], weigh: str | None, most: int = BLO
         yield batch.slice(start)
 
 
-def map_blocks(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str | T.StructType, weigh: str | None = "text") -> DataFrame:
+def map_blocks(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str | T.StructType, weigh: str | None = "text", most: int = BLOCK_BYTES) -> DataFrame:
     """mapInArrow in blocks of bounded size.  ``make()`` runs once per task and returns block -> {column: values}."""
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(kind)
 
     def run(batches):
         work = make()
-        for block in blocks(batches, weigh):
+        for block in blocks(batches, weigh, most):
             if block.num_rows:
                 out = work(block)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
