@@ -27,7 +27,8 @@ SPECIALS = (
     ("domain", r"[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"),
     ("id", rf"[{_W}:-]*[{_D}_][{_W}:-]*"),
 )
-SPECIAL = "|".join(p for _, p in SPECIALS)
+#: All of them; group 1 is an IPv4 address, group 2 a phone number.
+SPECIAL = "|".join(f"({p})" if k == "phone" else p for k, p in SPECIALS)
 _HAN = r"\p{IsHan}\p{IsHiragana}"
 _CHAR = rf"[\p{{L}}\p{{M}}\p{{N}}_&&[^{_HAN}]]"
 #: Words by the Unicode rules, nearly: letters, marks, digits and underscores, with some signs between letters or digits; Han and Hiragana one by one.
@@ -75,26 +76,42 @@ def specials(text: Column) -> Column:
     return F.transform(whole, one)
 
 
-def lex(text: Column, config: Config) -> Column:
+def parts(text: Column, config: Config) -> dict[str, Column]:
+    """What :func:`assemble` needs of a text, each found once: its specials, the groups that tell them apart, and the gaps."""
+    if not config.tokenization.detect_special_patterns:
+        return {"_text": text}
+    found = {f"_s{g}": F.regexp_extract_all(text, F.lit(SPECIAL), F.lit(g)) for g in range(1 if config.tokenization.compat_split_special_patterns else 3)}
+    return found | {"_gaps": F.split(text, SPECIAL, -1)}
+
+
+def assemble(part: dict[str, Column], config: Config) -> Column:
     """Tokens in order, repeats included: array of structs of special, term and bytes (of the word as written)."""
     token = lambda special, term, size: F.struct(F.lit(special).alias("special"), term.alias("term"), F.octet_length(size).alias("bytes"))
     fold = (lambda w: fold_diacritics(fold_case(w))) if config.normalization.diacritic_folding_enabled else fold_case
     plain = lambda t: F.transform(words(t), lambda w: token(False, fold(w), w))
-    if not config.tokenization.detect_special_patterns:
-        return plain(text)
-    gaps = F.split(text, SPECIAL, -1)
+    if "_text" in part:
+        return plain(part["_text"])
+    whole = part["_s0"]
     if config.tokenization.compat_split_special_patterns:
 
-        def split(s):
-            found = words(s["whole"])
-            return F.transform(F.when(F.size(found) > 0, found).otherwise(F.array(s["whole"])), lambda w: token(True, w, w))
+        def special(i):
+            found = words(F.get(whole, i))
+            return F.transform(F.when(F.size(found) > 0, found).otherwise(F.array(F.get(whole, i))), lambda w: token(True, w, w))
 
     else:
-        split = lambda s: F.array(token(True, s["term"], s["term"]))
-    found = specials(text)
+
+        def special(i):
+            ip, phone = F.get(part["_s1"], i), F.get(part["_s2"], i)
+            term = F.when(ip != "", ip).when(phone != "", F.regexp_replace(phone, "[^0-9+]", "")).otherwise(F.get(whole, i))
+            return F.transform(F.array(term), lambda t: token(True, t, t))
+
     none = F.array().cast("array<struct<special:boolean,term:string,bytes:int>>")
-    mixed = F.transform(gaps, lambda g, i: F.concat(plain(g), F.when(i < F.size(found), split(F.get(found, i))).otherwise(none)))
-    return F.when(F.size(found) > 0, F.flatten(mixed)).otherwise(plain(text))
+    return F.flatten(F.transform(part["_gaps"], lambda g, i: F.concat(plain(g), F.when(i < F.size(whole), special(i)).otherwise(none))))
+
+
+def lex(text: Column, config: Config) -> Column:
+    """:func:`assemble` of the :func:`parts` of a text, as one expression."""
+    return assemble(parts(text, config), config)
 
 
 def needs_exact(config: Config) -> bool:
@@ -112,9 +129,12 @@ def tokens(df: DataFrame, config: Config, *, text: str = "text", lang: str | Non
         from .exact import lex_udf
 
         found = lex_udf(config)(F.col(text), F.col(lang) if lang else F.lit(None).cast("string"))
+        rest = [c for c in df.columns if c != text]
     else:
-        found = lex(F.col(text), config)
-    rest = [c for c in df.columns if c != text]
+        rest = [c for c in df.columns if c != text]
+        part = parts(F.col(text), config)
+        df = df.select(*rest, *[c.alias(k) for k, c in part.items()])  # found once, then put together
+        found = assemble({k: F.col(k) for k in part}, config)
     # the first of equal terms is kept: a term counts once for a text, with its first place and length
     rows = df.select(*rest, F.posexplode(found).alias("pos", "_t")).select(*rest, "_t.term", "_t.special", "_t.bytes", "pos")
     if cleanup:

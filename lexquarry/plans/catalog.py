@@ -6,7 +6,6 @@ doc_id; ``benchmark`` passages are the queries.  Order is a column (rank), becau
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,7 +54,7 @@ def index_of(spark, sf_dir, config: Config = WORDS) -> Index:
     settings = config.with_(search={"query_alternates_try": 4, "query_minimum_term_idf": 0.1, "prefix_matching_enabled": True, "fuzzy_matching_enabled": True})
     key = (spark.sparkContext.applicationId, sf_dir, settings)
     if key not in _BUILT:
-        _BUILT[key] = Index.from_documents(documents(spark, sf_dir), config).map(lambda name, df: df.persist(StorageLevel.DISK_ONLY))
+        _BUILT[key] = Index.from_documents(documents(spark, sf_dir), config).kept()
     return _BUILT[key]
 
 
@@ -386,7 +385,7 @@ def _message_log(spark, sf_dir) -> DataFrame:
 def query_conversations(spark, sf_dir):
     """Conversations whose turns were pushed one after the other; equal scores are ordered by the newest link."""
     config = _EXACT.with_(search={"query_minimum_term_idf": 0.0})
-    i = Index.from_log(_message_log(spark, sf_dir), config)
+    i = Index.from_log(_message_log(spark, sf_dir), config).kept()
     q = asked(spark, sf_dir, F.col("text"), lang="none").withColumn("collection", F.lit("messages")).withColumn("bucket", F.lit("user"))
     return _shown(search.search(q, i, config))
 
@@ -408,7 +407,7 @@ _PART_SQL = " union all ".join(f"select {i} as qid, {_quoted(w)} as text" for i,
 def query_parts(spark, sf_dir):
     config = WORDS.with_(search={"query_alternates_try": 30, "query_minimum_term_idf": 0.0})
     q = spark.createDataFrame([(i, "parts", "Brand#2", w, 100, 0, "none") for i, w in enumerate(_PART_WORDS)], "qid long, collection string, bucket string, terms string, limit int, offset long, lang string")
-    return _shown(search.search(q, Index.from_documents(parts(spark, sf_dir), config), config))
+    return _shown(search.search(q, Index.from_documents(parts(spark, sf_dir), config).kept(), config))
 
 
 # --- suggestions -----------------------------------------------------------------------------------------------------

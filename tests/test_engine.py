@@ -19,7 +19,7 @@ QUERIES = "qid long, collection string, bucket string, terms string, limit int,
 
 
 def run_log(spark, ops, config, published=None):
-    return Index.from_log(spark.createDataFrame([(i, *op) for i, op in enumerate(ops)], OPLOG), config, published=published)
+    return Index.from_log(spark.createDataFrame([(i, *op) for i, op in enumerate(ops)], OPLOG), config, published=published).kept()
 
 
 def push(o, text, b="b", c="c", lang="none"):
