@@ -17,6 +17,7 @@ from .operators import admin, search, suggest
 from .operators.index import Index
 from .operators.oplog import popped_counts
 from .schema import OPLOG, ItemRef
+from .sources import scratch
 from .sources.store import Store, backup, restore
 
 
@@ -44,7 +45,7 @@ class Engine:
         self.store = Store(spark, path or self.config.store.path)
         self.stats = Statistics()
         self._live: tuple[int, Index] | None = None
-        self._old: Index | None = None
+        self._tables: list[str] = []
         last = self.store.log().agg(F.max("seq"), F.count("*")).head()
         self._seq = -1 if last[0] is None else last[0]
         self._batch = int(time.time() * 1000)
@@ -90,10 +91,10 @@ class Engine:
 
     def _index(self) -> Index:
         if self._live is None or self._live[0] != self._seq:
-            if self._old is not None:
-                self._old.forget()
-            self._old = Index.from_log(self.store.log(), self.config, published=self._published, exact=self.exact).kept()
-            self._live = (self._seq, self._old)
+            scratch.forget(self._tables)
+            before = scratch.written()
+            self._live = (self._seq, Index.from_log(self.store.log(), self.config, published=self._published, exact=self.exact).kept())
+            self._tables = scratch.written_since(before)
         return self._live[1]
 
     def _limit(self, kind: str, limit: int | None) -> int:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..sources.scratch import materialise
 from . import oplog
 
 
@@ -21,8 +21,6 @@ class Index:
     lexicon: DataFrame
     term_stats: DataFrame
     bucket_stats: DataFrame
-    #: What was persisted on the way.
-    held: list[DataFrame] = field(default_factory=list)
 
     @classmethod
     def from_log(cls, ops: DataFrame, config: Config, *, published: int | None = None, exact: bool = False) -> Index:
@@ -35,7 +33,7 @@ class Index:
             cut = ops.where(F.col("seq") > published)
             seen = seen.join(cut.where("op = 'flushb'").select("collection", "bucket").distinct(), ["collection", "bucket"], "left_anti")
             seen = seen.join(cut.where("op = 'flushc'").select("collection").distinct(), "collection", "left_anti")
-        return cls(state["postings"], state["objects"], oplog.lexicon(seen, config.store.max_words), oplog.term_stats(state["postings"]), state["bucket_stats"], [state["events"], earlier["events"]])
+        return cls(state["postings"], state["objects"], oplog.lexicon(seen, config.store.max_words), oplog.term_stats(state["postings"]), state["bucket_stats"])
 
     @classmethod
     def from_documents(cls, docs: DataFrame, config: Config, *, exact: bool = False) -> Index:
@@ -47,23 +45,19 @@ class Index:
 
         docs = oplog.valid(docs.withColumn("op", F.lit("push"))).drop("op")
         keys = [*oplog._OBJECT, "seq"]
-        terms = distinct_terms(tokens(docs, config, exact=exact), keys).persist(StorageLevel.DISK_ONLY)
+        terms = materialise(distinct_terms(tokens(docs, config, exact=exact), keys), "terms")
         births = oplog.number_births(docs.select(*oplog._OBJECT, F.col("seq").alias("birth")))
         # the object's number is its place by seq; postings carry seq, so recency needs no join
         objects = births.select(*oplog._OBJECT, "iid")
         postings = terms.join(births.select(*oplog._OBJECT, "iid"), oplog._OBJECT).select("collection", "bucket", "term", "object_id", "iid", F.col("seq").alias("link_seq"))
         kept, _ = oplog.retain(postings, config.store.retain_word_objects)
         words = terms.where(F.octet_length("term") <= oplog.WORD_BYTES).select("collection", "bucket", "term").distinct()
-        return cls(kept, objects, oplog.lexicon(words, config.store.max_words), oplog.term_stats(kept), births.groupBy("collection", "bucket").agg((F.max("iid") + 1).alias("n")), [terms])
+        return cls(kept, objects, oplog.lexicon(words, config.store.max_words), oplog.term_stats(kept), births.groupBy("collection", "bucket").agg((F.max("iid") + 1).alias("n")))
 
     def kept(self) -> Index:
-        """The same, with tables that are computed once and then read from the executors' disks."""
-        return self.map(lambda name, df: df.persist(StorageLevel.DISK_ONLY))
-
-    def forget(self) -> None:
-        self.map(lambda name, df: df.unpersist())
-        for df in self.held:
-            df.unpersist()
+        """The same, with tables that are written once to the shared folder and then read from it."""
+        postings = materialise(self.postings, "postings")
+        return Index(postings, materialise(self.objects, "objects"), materialise(self.lexicon, "lexicon"), materialise(oplog.term_stats(postings), "term-stats"), materialise(self.bucket_stats, "bucket-stats"))
 
     def map(self, f) -> Index:
-        return Index(*(f(name, getattr(self, name)) for name in ("postings", "objects", "lexicon", "term_stats", "bucket_stats")), self.held)
+        return Index(*(f(name, getattr(self, name)) for name in ("postings", "objects", "lexicon", "term_stats", "bucket_stats")))

@@ -13,13 +13,13 @@ computed by windows over the events of each object and term, without replaying r
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.lexer import distinct_terms, tokens
 from ..schema import WORD_BYTES, valid_part
+from ..sources.scratch import materialise
 
 #: Log positions numbered in one window; births of a bucket are numbered chunk by chunk.
 CHUNK = 1_000_000
@@ -61,7 +61,7 @@ def transitions(events: DataFrame) -> DataFrame:
 
 
 def fold(ops: DataFrame, config: Config, *, exact: bool = False) -> dict[str, DataFrame]:
-    """The live tables after the log: postings, objects, words (lexicon candidates), bucket_stats, and the persisted events."""
+    """The live tables after the log: postings, objects, words (lexicon candidates), bucket_stats."""
     ops = valid(ops)
     work = with_epochs(ops)
     plain = config.with_(normalization={"unicode_normalization": None}) if not exact else config
@@ -69,7 +69,7 @@ def fold(ops: DataFrame, config: Config, *, exact: bool = False) -> dict[str, Da
     pops = tokens(work.where("op = 'pop'").withColumn("lang", F.lit("none")), plain, cleanup=False, exact=exact)
     keys = [*_OBJECT, "epoch", "live", "ends", "seq", "op"]
     # everything below reads the events several times: they are computed once
-    events = transitions(distinct_terms(pushes.unionByName(pops), keys)).persist(StorageLevel.DISK_ONLY)
+    events = materialise(transitions(distinct_terms(pushes.unionByName(pops), keys)), "events")
     # operations with what they changed; those without terms count as births too
     ops_seen = work.select(*keys).join(events.groupBy(*_OBJECT, "epoch", "seq", "op").agg(F.sum("change").alias("change")), [*_OBJECT, "epoch", "seq", "op"], "left").fillna(0, ["change"])
     run = Window.partitionBy(*_OBJECT, "epoch").orderBy("seq")
@@ -87,7 +87,6 @@ def fold(ops: DataFrame, config: Config, *, exact: bool = False) -> dict[str, Da
     return {
         "postings": kept,
         "objects": objects.join(gone, _OBJECT, "left_anti"),
-        "events": events,
         "words": words(events, config),
         "bucket_stats": births.groupBy(*_BUCKET).agg((F.max("iid") + 1).alias("n")),
     }
