@@ -26,8 +26,8 @@ from .util import column, fold, map_blocks, materialise, table, texts
 MAX_LABELLED, MAX_TERMS, NEIGHBOURS, BLOCK = 20_000, 4096, 15, 64
 #: How much more often than overall the texts with a term are toxic, at least.
 LIFT = 3.0
-#: Results that a worker remembers.
-MEMO = 20_000
+#: Results that a worker remembers, for vectors of so many terms at most: these come again and again.
+MEMO, MEMO_TERMS = 4_000, 4
 #: Letters of the word beginnings, and the counts that are marked.
 BEGINNINGS, COUNTS = (4, 5), (1, 2, 4, 8)
 _SPLIT = re.compile(r"[\W\d_]+")
@@ -153,13 +153,14 @@ class ToxicityModel:
         v = self.vector(text)
         if not v:
             return self.empty_score, []
-        key = tuple(sorted(v.items()))
-        if key not in self.memo:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            near = self.index.nearest(v, self.k)
-            self.memo[key] = (float(1 / (1 + np.exp(-(self.a * self.vote(near) + self.b)))) if near else self.empty_score, near)
-        return self.memo[key]
+        key = tuple(sorted(v.items())) if len(v) <= MEMO_TERMS else None
+        if key in self.memo:
+            return self.memo[key]
+        near = self.index.nearest(v, self.k)
+        found = (float(1 / (1 + np.exp(-(self.a * self.vote(near) + self.b)))) if near else self.empty_score, near)
+        if key and len(self.memo) < MEMO:
+            self.memo[key] = found
+        return found
 
 
 def beginnings(terms) -> frozenset:
