@@ -119,7 +119,7 @@ def test_typos_by_length(spark, needle, hit):
 
 
 def test_identifiers_match_exactly_and_all_must(spark):
-    ops = [push("0", "write to ann@example.org about KX-2210 at 192.168.0.7, +33 6 12 34 56 78"), push("1", "write to anne@example.org about KX-2211 at 192.168.0.70, +33 6 12 34 56 79"), push("2", "write about it")]
+    ops = [push("0", "write to ann@example.org about KX-2210 at 192.168.0.7, +33 6 12 34 56 78"), push("1", "write to anne@example.org about KX-2211 at 192.168.1.9, +33 6 12 34 56 79"), push("2", "write about it")]
     index = run_log(spark, ops, BASE)
     for text in ("ann@example.org", "KX-2210", "192.168.0.7", "+33612345678", "+33 6 12 34 56 78", "write ann@example.org", "KX-2210 write"):
         assert ask(spark, index, BASE, text) == ["0"], text
