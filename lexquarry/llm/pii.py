@@ -35,7 +35,7 @@ _TITLE = "(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.? +"
 _GIVEN = "(?:" + "|".join(n for ns in GIVEN.values() for n in ns) + ")"
 #: Kinds and their patterns; where several begin at one place, the first wins.
 PATTERNS = {
-    "email": r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+",
+    "email": r"(?<![\w.%+-])[\w.%+-]+@[\w-]+(?:\.[\w-]+)+",
     "secret": r"(?i:password|passwd|pwd|token|secret|api[_-]?key)\s?[=:]\s?[\"']?[A-Za-z0-9_/+-]{8,}",
     "access": r"\bAKIA[0-9A-Z]{16}\b",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
@@ -43,11 +43,12 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "iban": r"(?<![A-Z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])",
     "phone": r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3,4}[ .-]?\d{4}(?![\w])|(?<!\w)\+\d{8,15}(?!\d)",
-    "name": rf"(?<!\p{{L}})(?:{_TITLE}{_CAPITAL}(?: +{_CAPITAL})?|{_GIVEN} +{_CAPITAL})",
+    "name": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{_TITLE}{_CAPITAL}(?: +{_CAPITAL})?|{_GIVEN} +{_CAPITAL})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: A cheap test that every entity meets, to spare most texts the patterns.
-HINT = r"[0-9@]|(?i:password|passwd|pwd|token|secret|api[_-]?key)|" + f"(?:{_TITLE[:-2]}|{_GIVEN}) "
+#: Cheap tests, one of which every entity meets, to spare most texts the patterns.
+HINT = r"[0-9@=:]|AKIA"
+NAME_HINT = rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{_TITLE}|{_GIVEN} +)\p{{Lu}}"
 #: Draws after which shapes give way so that a free surrogate must turn up.
 LOOSE = 6
 
@@ -205,7 +206,7 @@ def replace_pii(docs: DataFrame, *, text: str = "text", key: str = "lexquarry")
     """
     base = docs.drop("n_entities", "kinds")
     names = base.columns
-    has = F.coalesce(F.col(text).rlike(HINT) & F.col(text).rlike(ANY), F.lit(False))
+    has = F.coalesce((F.col(text).rlike(HINT) | F.col(text).rlike(NAME_HINT)) & F.col(text).rlike(ANY), F.lit(False))
     rest = base.where(~has).withColumn("n_entities", F.lit(0).cast("long")).withColumn("kinds", F.array().cast("array<string>"))
     found = base.where(has).withColumn("_m", F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).withColumn("_g", F.split(text, ANY, -1))
     found = found.withColumn("_kinds", F.transform("_m", _kind)).withColumn("_parts", F.transform("_m", parts)).withColumn("_uid", F.monotonically_increasing_id())
