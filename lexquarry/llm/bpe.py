@@ -22,7 +22,7 @@ from .util import column, map_blocks, table, texts
 #: Characters that the rolling hash sees, and bits that must be zero for a cut: chunks have 2 ** CUT_BITS characters on average.
 WINDOW, CUT_BITS = 16, 10
 #: What a worker remembers: pieces, and characters of chunks.
-MEMO_PIECES, MEMO_CHARS = 150_000, 4 << 20
+MEMO_PIECES, MEMO_CHARS = 400_000, 8 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
