@@ -553,8 +553,8 @@ def _eval_inputs(spark, sf_dir):
     b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents").where("lang = 'en'")
     # passages are found by their first words: an equi-join on the shingles that passages begin with
     head = lambda t: F.array_join(F.slice(F.split(t, r"[ \n]"), 1, 4), " ")
-    ws = F.split("text", r"[ \n]")
-    shingled = d.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - 3, F.lit(1))), lambda i: F.array_join(F.slice(ws, i, 4), " ")))).alias("head"))
+    ws = F.col("ws")
+    shingled = d.select("doc_id", "text", F.split("text", r"[ \n]").alias("ws")).select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - 3, F.lit(1))), lambda i: F.array_join(F.slice(ws, i, 4), " ")))).alias("head"))
     rel = b.select(F.col("item_id").alias("qid"), F.col("text").alias("passage"), head(F.col("text")).alias("head")).join(shingled, "head").where(F.col("text").contains(F.col("passage")))
     qrels = rel.select("qid", F.concat(F.lit("doc:"), "doc_id").alias("object_id"), F.lit(1).alias("rel")).distinct()
     run = search.search(asked(spark, sf_dir, F.col("text"), 100), index_of(spark, sf_dir), _EXACT)
