@@ -36,15 +36,16 @@ def gram_hashes(data: np.ndarray, width: int = GRAM) -> np.ndarray:
     """Hashes of all substrings of ``width`` bytes (a sum of powers of two of at least 8), by doubling."""
     step, m, h, out, covered = 1, _B, mixed(data.astype(np.uint64) + np.uint64(1)), None, 0
     n = len(data) - width + 1
-    while True:
-        if width & step:
-            part = h[covered : covered + n]
-            out = part.copy() if out is None else out * m + part  # m is base ** step here
-            covered += step
-        if covered == width:
-            return mixed(out)
-        h = h[:-step] * m + h[step:]
-        step, m = 2 * step, m * m
+    with np.errstate(over="ignore"):
+        while True:
+            if width & step:
+                part = h[covered : covered + n]
+                out = part.copy() if out is None else out * m + part  # m is base ** step here
+                covered += step
+            if covered == width:
+                return mixed(out)
+            h = h[:-step] * m + h[step:]
+            step, m = 2 * step, m * m
 
 
 def stretches(data: bytes, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
