@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages; each is written as Parquet and read again as the next one's documents.
 
 toxicity      documents that the nearest labelled examples call toxic go
-near_dedup    of each component of near-duplicates (five-word shingles, similarity of 0.85 or more) the smallest doc_id stays
+near_dedup    of each component of near-duplicates (five-word shingles, similarity of 0.8 or more) the smallest doc_id stays
 pii           personal data is replaced by surrogates in what is left
 mixing        sources are mixed to their target weights; a document that is taken twice comes twice, one that is taken in
               part comes with the words of its blocks that are taken
@@ -19,6 +19,8 @@ from lexquarry.llm import bpe, mixing, neardup, pii, toxicity
 from lexquarry.llm.util import shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Similarity of shingle sets, in percent, from which documents are near-duplicates.
+NEAR_PERCENT = 80
 
 
 def _documents(df: DataFrame) -> DataFrame:
@@ -35,7 +37,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: the one with the smallest doc_id (of rows that share it, the first by text)."""
-    kept = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    kept = neardup.near_duplicates(docs, percent=NEAR_PERCENT).where("kept").select("doc_id").distinct()
     order = Window.partitionBy("doc_id").orderBy("text", "lang", "source")
     rows = docs.join(kept, "doc_id", "left_semi").withColumn("_first", F.row_number().over(order)).where("_first = 1")
     return rows.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))

@@ -2,7 +2,7 @@
 
 A document is its set of five-word shingles.  HASHES minima of it, cut to 16 bits each, are its signature; two signatures
 differ in the hashes at which they disagree.  At similarity 0.85 a signature differs in 0.15 * HASHES places on average;
-MOST_ERRORS lies almost five deviations above this.  The signature is split into CHUNKS chunks: a pair with at most
+MOST_ERRORS lies almost five deviations above this, and so does ``layout``'s choice for 0.80.  The signature is split into CHUNKS chunks: a pair with at most
 MOST_ERRORS differences has a chunk with at most MOST_ERRORS // CHUNKS of them (pigeonhole), so each document is filed
 under every chunk with up to that many places left out, and every such pair meets in a bucket.  Links are confirmed on
 the full sets.
@@ -28,6 +28,8 @@ from .util import column, map_blocks, materialise, table
 SHINGLE, HASHES, MOST_ERRORS, CHUNKS = 5, 64, 23, 12
 ERRORS = MOST_ERRORS // CHUNKS
 assert ERRORS == 1  # _first_meeting counts on it
+#: Least similarity in percent, with the chunks that guarantee it (one error each: twice as many differences less one).
+LAYOUTS = ((85, CHUNKS), (80, 14))
 #: Names of shingles that are counted together, about.
 SHARD_NAMES = 1 << 20
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -65,6 +67,14 @@ def signature(names: np.ndarray) -> np.ndarray:
     return out
 
 
+def layout(percent: int) -> int:
+    """The chunks for a similarity: 2 * chunks - 1 differences lie almost five deviations above those expected."""
+    for least, chunks in LAYOUTS:
+        if percent >= least:
+            return chunks
+    raise ValueError(f"percent: {percent} is below {LAYOUTS[-1][0]}, the least that the signatures are laid out for")
+
+
 def plan(hashes: int = HASHES, chunks: int = CHUNKS, errors: int = ERRORS) -> list[tuple[int, ...]]:
     """The places of every bucket key: each chunk with every choice of ``errors`` places left out."""
     from itertools import combinations
@@ -73,12 +83,12 @@ def plan(hashes: int = HASHES, chunks: int = CHUNKS, errors: int = ERRORS) -> li
     return [kept for a, b in zip(cut, cut[1:]) for kept in combinations(range(a, b), b - a - errors)]
 
 
-_PLAN = plan()
+_PLANS = {chunks: plan(chunks=chunks) for _, chunks in LAYOUTS}
 
 
-def keys(sig: np.ndarray) -> np.ndarray:
-    out = np.empty(len(_PLAN), dtype=np.uint64)
-    for i, places in enumerate(_PLAN):
+def keys(sig: np.ndarray, chunks: int = CHUNKS) -> np.ndarray:
+    out = np.empty(len(_PLANS[chunks]), dtype=np.uint64)
+    for i, places in enumerate(_PLANS[chunks]):
         out[i] = xxhash.xxh64_intdigest(sig[list(places)].tobytes(), i)
     return out
 
@@ -93,9 +103,12 @@ def _signed(block: pa.RecordBatch) -> dict:
     }
 
 
-def _filed(block: pa.RecordBatch) -> dict:
-    sigs = [np.frombuffer(x, dtype=np.uint16) for x in column(block, "sig").to_pylist()]
-    return {"rep": column(block, "rep"), "keys": [keys(s).view(np.int64) for s in sigs]}
+def _filed(chunks: int):
+    def work(block: pa.RecordBatch) -> dict:
+        sigs = [np.frombuffer(x, dtype=np.uint16) for x in column(block, "sig").to_pylist()]
+        return {"rep": column(block, "rep"), "keys": [keys(s, chunks).view(np.int64) for s in sigs]}
+
+    return work
 
 
 def _confirm(percent: int):
@@ -125,17 +138,17 @@ def _errors_in(x: str, y: str, places):
     return reduce(lambda p, q: p + q, [(F.substring(x, 2 * i + 1, 2) != F.substring(y, 2 * i + 1, 2)).cast("int") for i in places])
 
 
-def _first_meeting(k: str, x: str, y: str):
+def _first_meeting(k: str, x: str, y: str, chunks: int = CHUNKS):
     """Whether key number k is the first of those under which a pair of signatures is filed alike.
 
     The first chunk with one error at most decides: with one, a single key of it leaves that place out; with none, its
     first key counts.  So each pair is met once, however many buckets it shares.
     """
-    cut = [HASHES * i // CHUNKS for i in range(CHUNKS + 1)]
-    chunk_of = [next(c for c in range(CHUNKS) if kept[0] < cut[c + 1]) for kept in _PLAN]
+    cut = [HASHES * i // chunks for i in range(chunks + 1)]
+    chunk_of = [next(c for c in range(chunks) if kept[0] < cut[c + 1]) for kept in _PLANS[chunks]]
     errors = [_errors_in(x, y, range(a, b)) for a, b in zip(cut, cut[1:])]
-    chunk, wrong = F.lit(CHUNKS), F.lit(0)
-    for c in reversed(range(CHUNKS)):
+    chunk, wrong = F.lit(chunks), F.lit(0)
+    for c in reversed(range(chunks)):
         chunk, wrong = F.when(errors[c] <= 1, c).otherwise(chunk), F.when(errors[c] <= 1, errors[c]).otherwise(wrong)
     at = F.col(k)
     mine = F.get(F.array(*map(F.lit, chunk_of)), at)
@@ -185,7 +198,7 @@ def own_shingles(texts: DataFrame, total: int) -> DataFrame:
 def _near(percent: int, n_a: str, n_b: str, own_a: str, own_b: str, sig_a: str, sig_b: str):
     """Whether sizes, lone shingles and signatures leave a pair a chance."""
     need = (F.col(n_a) + F.col(n_b)) * percent / (100.0 + percent) - 1e-6  # of the intersection, for the similarity asked for
-    return (F.least(F.col(n_a) - F.col(own_a), F.col(n_b) - F.col(own_b)) >= need) & (_errors(sig_a, sig_b) <= MOST_ERRORS)
+    return (F.least(F.col(n_a) - F.col(own_a), F.col(n_b) - F.col(own_b)) >= need) & (_errors(sig_a, sig_b) < 2 * layout(percent))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, label: str) -> DataFrame:
@@ -218,19 +231,20 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """One row for each row of docs: key, n_shingles, component_id, kept.
 
-    Links join documents with ``100 * intersection >= percent * union`` of their shingle sets (percent of 85 or more: for
-    this the signature distance is laid out).  component_id is the smallest key reachable over links, itself included;
+    Links join documents with ``100 * intersection >= percent * union`` of their shingle sets (percent of 80 or more: for
+    less no signature distance is laid out).  component_id is the smallest key reachable over links, itself included;
     kept is true where it is the row's own.  Null, empty and blank texts have no shingles and are linked with nothing.
     Keys are integers; rows with the same key are one document, linked with each other.  Rows with a null key have a null
     component_id, are kept and linked with nothing.
     """
+    chunks = layout(percent)
     lean = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     built = materialise(map_blocks(lean, lambda: _signed, "doc_id long, n_shingles long, set_key binary, sig binary"), "dup-signed")
     whole = built.where("set_key is not null and doc_id is not null")
     classes = whole.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     heads = materialise(classes, "dup-classes")
     members = materialise(whole.select("doc_id", "set_key").join(heads.select("set_key", "rep"), "set_key").select("doc_id", "rep").distinct(), "dup-members")
-    entries = map_blocks(heads.select("rep", "sig"), lambda: _filed, "rep long, keys array<long>", weigh="sig").select("rep", F.posexplode("keys").alias("k", "bucket"))
+    entries = map_blocks(heads.select("rep", "sig"), lambda: _filed(chunks), "rep long, keys array<long>", weigh="sig").select("rep", F.posexplode("keys").alias("k", "bucket"))
     entries = materialise(entries, "dup-entries")
     shared = entries.groupBy("bucket").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("bucket")
     buckets = materialise(entries.join(shared, "bucket"), "dup-buckets")
@@ -256,7 +270,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     still = tagged.join(mixed_up, "bucket").where("rep <> lead").join(facts, "rep").where(F.col("own") * 100 <= (100 - percent) * F.col("n_shingles"))
     still = materialise(still, "dup-open")
     l, r = still.alias("l"), still.alias("r")
-    cross = l.join(r, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.rep") < F.col("r.rep")) & (F.col("l.comp") != F.col("r.comp")) & _first_meeting("l.k", "l.sig", "r.sig") & _near(percent, "l.n_shingles", "r.n_shingles", "l.own", "r.own", "l.sig", "r.sig"))
+    cross = l.join(r, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.rep") < F.col("r.rep")) & (F.col("l.comp") != F.col("r.comp")) & _first_meeting("l.k", "l.sig", "r.sig", chunks) & _near(percent, "l.n_shingles", "r.n_shingles", "l.own", "r.own", "l.sig", "r.sig"))
     more = confirmed(cross.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")), held, percent, "dup-more")
     final = first if more.isEmpty() else components(links.unionByName(same_key).unionByName(more), "dup-all")
     placed = members.groupBy("doc_id").agg(F.min("rep").alias("rep")).join(final, "rep", "left").select("doc_id", comp.alias("comp"))

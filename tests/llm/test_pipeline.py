@@ -34,3 +34,28 @@ def test_repeated_and_odd_rows(spark):
     assert sorted(str(r.doc_id) for r in out) == ["1", "3", "4", "None"]
     assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), SF).count() == 0
     assert corpus_pipeline.mix_sources(spark, corpus_pipeline.replace_personal_data(spark, docs, SF), SF).columns == docs.columns
+
+
+def test_near_dedup_stage_against_brute_force(spark):
+    from .test_neardup import brute, corpus
+
+    # 200 distinct words and a copy with 4 changed far apart: 176 shingles of 216 are shared, a similarity of 0.81
+    words = [f"w{i}" for i in range(200)]
+    edited = [f"x{i}" if i % 50 == 25 else w for i, w in enumerate(words)]
+    rows = [*((k + 10, t) for k, t in corpus(7, 80)), (1, " ".join(words)), (2, " ".join(edited))]
+    assert (2, 196, 2, True) in brute(rows) and (2, 196, 1, False) in brute(rows, 80)
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
+    assert sorted(r.doc_id for r in out) == [k for k, _, _, kept in brute(rows, 80) if kept]
+
+
+def test_errors_guaranteed_at_80_percent_share_a_bucket():
+    import random
+
+    np, rng, chunks = neardup.np, random.Random(5), neardup.layout(80)
+    base = np.array([rng.randrange(1 << 16) for _ in range(neardup.HASHES)], dtype=np.uint16)
+    for _ in range(200):
+        other = base.copy()
+        for i in rng.sample(range(neardup.HASHES), 2 * chunks - 1):
+            other[i] ^= 1
+        assert set(neardup.keys(base, chunks)) & set(neardup.keys(other, chunks))
