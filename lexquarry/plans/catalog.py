@@ -14,9 +14,11 @@ from ..functions import langs, lexer, scoring, stopwords
 from ..operators import admin, evaluate, oplog, search, suggest
 from ..operators.index import Index
 
+#: No retention and no end of the lexicon, as in the SQL; index_retention_k and index_truncated_objects set their own.
+_WHOLE = {"retain_word_objects": 1_000_000_000, "max_words": 1_000_000_000}
 #: Words only: what SQL's regular expressions can follow to the letter.
-WORDS = Config().with_(tokenization={"detect_special_patterns": False}, search={"match_normal_forms": False})
-SPECIALS = Config().with_(tokenization={"compat_split_special_patterns": False}, search={"match_normal_forms": False})
+WORDS = Config().with_(tokenization={"detect_special_patterns": False}, search={"match_normal_forms": False}, store=_WHOLE)
+SPECIALS = Config().with_(tokenization={"compat_split_special_patterns": False}, search={"match_normal_forms": False}, store=_WHOLE)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -230,7 +232,7 @@ def index_retention_k(spark, sf_dir):
 
 @query("index_truncated_objects", f"{_KEPT} select bucket, 'doc:' || doc_id as object_id, count(*) as lost from kept where r > 20 group by bucket, doc_id")
 def index_truncated_objects(spark, sf_dir):
-    i = index_of(spark, sf_dir, WORDS.with_(store={"retain_word_objects": 1_000_000_000}))
+    i = index_of(spark, sf_dir)
     _, lost = oplog.retain(i.postings, 20)
     return lost.groupBy("bucket", "object_id").agg(F.count("*").alias("lost"))
 
@@ -485,21 +487,18 @@ def pop_terms(spark, sf_dir):
 
 @query("push_merge_terms", f"with {_LOG} select bucket, 'doc:' || doc_id as object_id, count(*) as terms from live group by bucket, doc_id")
 def push_merge_terms(spark, sf_dir):
-    return admin.count_objects(Index.from_log(mutation_log(spark, sf_dir), _UNCAPPED)).drop("collection")
-
-
-_UNCAPPED = WORDS.with_(store={"retain_word_objects": 1_000_000_000, "max_words": 1_000_000_000})
+    return admin.count_objects(Index.from_log(mutation_log(spark, sf_dir), WORDS)).drop("collection")
 
 
 @query("flush_object", f"with {_LOG} select bucket, count(distinct doc_id) as objects from live where doc_id % 7 = 0 group by bucket")
 def flush_object(spark, sf_dir):
-    i = Index.from_log(mutation_log(spark, sf_dir), _UNCAPPED)
+    i = Index.from_log(mutation_log(spark, sf_dir), WORDS)
     return i.objects.where(F.substring("object_id", 5, 20).cast("long") % 7 == 0).groupBy("bucket").agg(F.count("*").alias("objects"))
 
 
 @query("flush_bucket", f"with {_LOG} select bucket, count(distinct doc_id) as objects from live group by bucket")
 def flush_bucket(spark, sf_dir):
-    i = Index.from_log(mutation_log(spark, sf_dir), _UNCAPPED)
+    i = Index.from_log(mutation_log(spark, sf_dir), WORDS)
     return i.postings.groupBy("bucket").agg(F.countDistinct("object_id").alias("objects"))
 
 
@@ -507,7 +506,7 @@ def flush_bucket(spark, sf_dir):
 def flush_collection(spark, sf_dir):
     """Two collections, one of which is flushed."""
     log = mutation_log(spark, sf_dir).unionByName(_message_log(spark, sf_dir)).unionByName(spark.createDataFrame([(9_000_000_000, "flushc", "documents", None, None, None, None)], "seq long, op string, collection string, bucket string, object_id string, text string, lang string"))
-    return admin.count_collections(Index.from_log(log, _UNCAPPED))
+    return admin.count_collections(Index.from_log(log, WORDS))
 
 
 @query(
@@ -523,7 +522,7 @@ def flush_collection(spark, sf_dir):
       select bucket, count(*) as words, min(term) as first_word, max(term) as last_word from words where strlen(term) <= 40 group by bucket""",
 )
 def consolidate_lexicon(spark, sf_dir):
-    i = Index.from_log(mutation_log(spark, sf_dir), _UNCAPPED)
+    i = Index.from_log(mutation_log(spark, sf_dir), WORDS)
     return i.lexicon.groupBy("bucket").agg(F.count("*").alias("words"), F.min("term").alias("first_word"), F.max("term").alias("last_word"))
 
 

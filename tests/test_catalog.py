@@ -36,3 +36,17 @@ def test_alternates_never_fall_back_to_nested_loops(spark):
     index = catalog.index_of(spark, SF)
     plan = search.search(catalog.asked(spark, SF, catalog._CUT()), index, catalog.WORDS)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Cross" not in plan
+
+
+def agrees(spark, name, sf):
+    df, con = catalog.QUERIES[name](spark, sf), duckdb.connect()
+    for t in ("documents", "benchmark", "conversations", "part"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    r = con.execute(catalog.ORACLES[name])
+    assert rows(df.columns, [tuple(x) for x in df.collect()]) == rows([d[0] for d in r.description], r.fetchall())
+
+
+@pytest.mark.parametrize("name", ["index_df", "index_idf", "index_postings", "count_object", "count_bucket", "list_terms", "query_exact"])
+def test_frequent_words_are_whole(spark, name):
+    """Tables on which words are in more than 1000 documents of a language."""
+    agrees(spark, name, "/root/testdata/sf0.1")
