@@ -363,10 +363,10 @@ _MAILS = "[A-Za-z0-9.]+@[A-Za-z0-9]+[.][A-Za-z0-9.]*[A-Za-z0-9]"
       select mail, count(*) as docs, min(doc_id) as first_doc from hits join asked using (qid) group by mail""",
 )
 def query_special_and(spark, sf_dir):
-    """Every e-mail address found in the documents, asked for in its bucket: all of a query's tokens must be present."""
+    """E-mail addresses of the shape that the SQL asks for, each in its bucket: all of a query's tokens must be present."""
     d = table(spark, sf_dir, "documents")
     mails = d.select("lang", F.explode(F.regexp_extract_all("text", F.lit(_MAILS), F.lit(0))).alias("mail")).where(F.col("mail").rlike(r"^[a-z]+[.][0-9]+@mail[0-9][.]example[.]com$")).distinct()
-    q = mails.select(F.row_number().over(Window.orderBy("lang", "mail")).cast("long").alias("qid"), F.lit("documents").alias("collection"), F.col("lang").alias("bucket"), F.col("mail").alias("terms"), F.lit(100).alias("limit"), F.lit(0).cast("long").alias("offset"), "lang")
+    q = mails.select(F.row_number().over(Window.orderBy("lang", "mail")).cast("long").alias("qid"), F.lit("documents").alias("collection"), F.col("lang").alias("bucket"), F.col("mail").alias("terms"), F.lit(1 << 62).alias("limit"), F.lit(0).cast("long").alias("offset"), "lang")
     config = SPECIALS.with_(search={"query_alternates_try": 0, "query_minimum_term_idf": 0.0})
     hits = search.search(q, index_of(spark, sf_dir, config), config).join(q.select("qid", "terms"), "qid")
     return hits.groupBy(F.col("terms").alias("mail")).agg(F.count("*").alias("docs"), F.min(F.substring("object_id", 5, 20).cast("long")).alias("first_doc"))

@@ -50,3 +50,9 @@ def agrees(spark, name, sf):
 def test_frequent_words_are_whole(spark, name):
     """Tables on which words are in more than 1000 documents of a language."""
     agrees(spark, name, "/root/testdata/sf0.1")
+
+
+def test_an_address_in_many_documents(spark, tmp_path):
+    rows = [(i, "write to anna.7@mail1.example.com" + " again" * (i % 3), "en") for i in range(1200)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [(r.mail, r.docs, r.first_doc) for r in catalog.QUERIES["query_special_and"](spark, str(tmp_path)).collect()] == [("anna.7@mail1.example.com", 1200, 0)]
