@@ -152,7 +152,7 @@ def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str
     def count(block):
         found: dict[tuple, Counter] = defaultdict(Counter)
         for t, x in zip(texts(block), column(block, "lang").to_pylist()):
-            for w, n in Counter(_WORD.findall(t.lower())).items():
+            for w, n in Counter(words_of(t)).items():
                 found["script", x][script(w)] += n
                 mine = found["gram", x]
                 for g in grams(w):
@@ -174,6 +174,12 @@ def _by_count():
     return Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "item")
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text in lower case.  Where lower-casing lengthens it, words are found first: a new mark would split one."""
+    low = text.lower()
+    return _WORD.findall(low) if len(low) == len(text) else [w.lower() for w in _WORD.findall(text)]
+
+
 def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", spans: bool = True) -> DataFrame:
     """docs with lang_pred, score (0 to 1) and, if asked for, spans (start, end, lang) in code points.
 
@@ -191,7 +197,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", spans
 
         def work(block):
             raw = [t or "" for t in texts(block, text)]
-            words = [_WORD.findall(t.lower()) for t in raw]
+            words = [words_of(t) for t in raw]
             paths = labeller.paths(words) if m.langs else [np.zeros(0)] * len(words)
             said = [summarise(m, w, p, labeller.scores[[labeller.memo[x] for x in w]] if w and m.langs else None) for w, p in zip(words, paths)]
             out = {f: column(block, f) for f in names} | {"lang_pred": [x for x, _ in said], "score": [x for _, x in said]}
@@ -203,7 +209,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", spans
 
 
 def spans_of(model: LanguageModel, text: str, path: np.ndarray) -> list[dict]:
-    """Runs of words of one language.  Lower-casing may lengthen a text; then the words are sought in it as written."""
+    """Runs of words of one language; path has a place for each word of the text as written."""
     found = [m.span() for m in _WORD.finditer(text)]
     if len(found) != len(path) or not model.langs:
         return []

@@ -111,3 +111,9 @@ def test_languages_of_spans_and_edges(spark):
     assert got[5].lang_pred == "ru" and got[6].lang_pred in ("de", "en", "ru") and got[7].lang_pred == "en"
     empty = langid.train(spark.createDataFrame([], "doc_id long, text string, lang string"))
     assert [r.lang_pred for r in langid.identify(spark.createDataFrame(rows[:1], "doc_id long, text string"), empty).collect()] == ["und"]
+
+
+def test_spans_of_a_text_that_lower_case_lengthens(spark):
+    text = "İx " + "the house and this " * 9 + "das haus und dies " * 9
+    got = langid.identify(spark.createDataFrame([(1, text)], "doc_id long, text string"), toy_model()).collect()[0]
+    assert [s.lang for s in got.spans][-2:] == ["en", "de"] and got.spans[-1].end == len(text.rstrip())
