@@ -33,16 +33,23 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _CAPITAL = r"\p{Lu}[\p{L}'’-]+"
 _TITLE = "(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.? +"
 _GIVEN = "(?:" + "|".join(n for ns in GIVEN.values() for n in ns) + ")"
+#: Numbers as they are written in fr, es, de and en: a country code with an optional trunk zero, or that zero, and groups.
+_ABROAD = r"(?:\+|00 ?)\d{1,3}[ .-]?(?:\(0\)[ .-]?)?"
+_GROUPS = (
+    r"(?:(?:\+|00 ?)33[ .-]?(?:\(0\)[ .-]?)?|0)[1-9](?:[ .-]?\d{2}){4}(?!\d)",  # 06 12 34 56 78
+    r"(?:(?:\+|00 ?)34[ .-]?)?(?:[67]\d{2}(?:[ -]\d{3}){2}|[6-9]\d{2}(?:[ -]\d{2}){3}|[89]\d[ -]\d{3}(?:[ -]\d{2}){2})(?![ .,]?\d)",  # 612 345 678
+    rf"(?=[+0])(?=(?:\D{{0,3}}\d){{9}})(?:{_ABROAD}|0)[1-9]\d{{1,4}}(?: ?[/-] ?|[ .])\d{{2,8}}(?:[ .-]\d{{2,5}}){{0,3}}(?!\d)",  # 0171 1234567, +44 20 7946 0958
+)
 #: Kinds and their patterns; where several begin at one place, the first wins.
 PATTERNS = {
     "email": r"(?<![\w.%+-])[\w.%+-]+@[\w-]+(?:\.[\w-]+)+",
     "secret": r"(?i:password|passwd|pwd|token|secret|api[_-]?key)\s?[=:]\s?[\"']?[A-Za-z0-9_/+-]{8,}",
     "access": r"\bAKIA[0-9A-Z]{16}\b",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
-    "card": r"(?<![\d-])(?:\d{4}[ -]?){3}\d{1,4}(?![\d-])|(?<![\d.])\d{13,19}(?!\d)",
+    "card": r"(?<![\d-])(?:\d{4}[ -]?){3}\d{1,4}(?![\d-])|(?<![\d-])\d{4}[ -]?\d{6}[ -]?\d{4,5}(?![\d-])|(?<![\d.])\d{13,19}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "iban": r"(?<![A-Z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])",
-    "phone": r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3,4}[ .-]?\d{4}(?![\w])|(?<!\w)\+\d{8,15}(?!\d)",
+    "phone": r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3,4}[ .-]?\d{4}(?![\w])|(?<!\w)\+\d{8,15}(?!\d)|(?<![\w+.-])(?:" + "|".join(_GROUPS) + ")",
     "name": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{_TITLE}{_CAPITAL}(?: +{_CAPITAL})?|{_GIVEN} +{_CAPITAL})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -148,7 +155,8 @@ def draw(kind: Column, canon: Column, turn: Column, key: str) -> Column:
 
     ip = F.array_join(F.transform(octets, octet), ".")
     card = _luhn(F.concat(F.substring(canon, 1, 1), F.substring(alike, F.lit(2), F.length(canon) - 2)))
-    country = F.greatest(F.length(canon) - 10, F.lit(0))
+    # a trunk zero and the country codes of _GROUPS stay
+    country = F.when(canon.rlike("^00"), 4).when(canon.startswith("0"), 1).when(canon.rlike("^(?:33|34|44|49)[0-9]{9,}$"), 2).otherwise(F.greatest(F.length(canon) - 10, F.lit(0)))
     phone = F.concat(F.substring(canon, F.lit(1), country), (2 + _byte(hexed, F.lit(0)) % 8).cast("string"), F.substring(alike, country + 2, F.length(canon)))
     hexadecimal = F.when(canon.rlike("^[0-9a-f]+$"), "x").when(canon.rlike("^[0-9A-F]+$"), "X").otherwise("")
     script = F.regexp_extract(kind, "_([a-z]+)$", 1)

@@ -186,3 +186,21 @@ def test_surrogates_stay_distinct(spark):
     ips = [t.split(" ")[0] for t in out.values()]
     assert len(set(ips)) == len(ips) and not set(ips) & {r[1].split(" ")[0] for r in rows}
     assert len({t.split(" ")[-1] for t in out.values()}) == len({r[1].split(" ")[-1] for r in rows})
+
+
+NUMBERS = [
+    *((n, "phone") for n in ("+33 6 12 34 56 78", "06 12 34 56 78", "06.12.34.56.78", "+44 20 7946 0958", "020 7946 0958", "0171 1234567", "030/1234567", "+34 612 345 678", "612 345 678", "912 34 56 78", "+49 30 1234567", "+49 (0)30 1234567", "0049 30 1234567")),
+    ("3782 822463 10005", "card"), ("3056-930902-5904", "card"),
+]
+
+
+def test_national_numbers_and_short_cards(spark):
+    import re
+
+    plain = ["on 01.02.2024 and 2024-01-12 10:20", "0.12 34 of 12 345 678", "from 0 to 100"]
+    docs = spark.createDataFrame([*((i, f"call {n}, please") for i, (n, _) in enumerate(NUMBERS)), *((100 + i, t) for i, t in enumerate(plain))], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.replace_pii(docs).collect()}
+    for i, (n, kind) in enumerate(NUMBERS):
+        assert got[i].kinds == [kind] and n not in got[i].text, n
+        assert re.sub(r"\d", "0", got[i].text) == re.sub(r"\d", "0", f"call {n}, please"), n
+    assert [got[100 + i].text for i in range(len(plain))] == plain
