@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexquarry.llm import bpe, mixing, neardup, pii, toxicity
-from lexquarry.llm.util import shared_dir
+from lexquarry.llm.util import materialise, shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Similarity of shingle sets, in percent, from which documents are near-duplicates.
@@ -36,11 +36,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one with the smallest doc_id (of rows that share it, the first by text)."""
-    kept = neardup.near_duplicates(docs, percent=NEAR_PERCENT).where("kept").select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy("text", "lang", "source")
-    rows = docs.join(kept, "doc_id", "left_semi").withColumn("_first", F.row_number().over(order)).where("_first = 1")
-    return rows.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    """One document of each component stays: the one with the smallest doc_id (of rows that share it, the first by text).
+
+    Rows that share a doc_id are one document only where they are linked or have the same text.
+    """
+    lone = docs.where("doc_id is null").select(*COLUMNS)
+    docs = docs.where("doc_id is not null")
+    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return _drop_by_row(docs).unionByName(lone)
+    kept = neardup.near_duplicates(docs, percent=NEAR_PERCENT).where("kept").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS).unionByName(lone)
+
+
+def _drop_by_row(docs: DataFrame) -> DataFrame:
+    """The same for a doc_id with several rows: each text of a doc_id is a document of its own."""
+    same = Window.partitionBy("doc_id", "text").orderBy("lang", "source")
+    first = docs.select(*COLUMNS).withColumn("_r", F.row_number().over(same)).where("_r = 1").drop("_r")
+    first = materialise(first.withColumn("_row", F.monotonically_increasing_id()), "dedup-rows")
+    marks = neardup.near_duplicates(first, key="_row", percent=NEAR_PERCENT).select("_row", "component_id")
+    order = Window.partitionBy("component_id").orderBy("doc_id", "text")
+    rows = first.join(marks, "_row").withColumn("_first", F.row_number().over(order)).where("_first = 1")
+    return rows.select(*COLUMNS)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

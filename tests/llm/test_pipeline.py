@@ -59,3 +59,10 @@ def test_errors_guaranteed_at_80_percent_share_a_bucket():
         for i in rng.sample(range(neardup.HASHES), 2 * chunks - 1):
             other[i] ^= 1
         assert set(neardup.keys(base, chunks)) & set(neardup.keys(other, chunks))
+
+
+def test_different_texts_of_a_doc_id_stay(spark):
+    rows = [(1, "a b c d e f"), (1, "p q r s t u"), (1, "A b c d e f"), (2, "P q r s t u"), (3, ""), (3, "")]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
+    assert sorted((r.doc_id, r.text) for r in out) == [(1, "A b c d e f"), (1, "p q r s t u"), (3, "")]
