@@ -76,11 +76,8 @@ def lex(text: str, config: Config, lang: str | None = None, cleanup: bool = True
 
 
 def lex_udf(config: Config, cleanup: bool = True):
-    lists = stopwords.every()
-
     @F.pandas_udf("array<struct<special:boolean,term:string,bytes:int>>")
     def run(texts: pd.Series, lang: pd.Series) -> pd.Series:
-        stopwords.give(lists)
         return pd.Series([None if t is None else [{"special": s, "term": w, "bytes": n} for s, w, n in lex(t, config, x, cleanup)] for t, x in zip(texts, lang)])
 
     return run

@@ -136,11 +136,8 @@ def detect(text: str | None) -> str | None:
 def detect_udf():
     """:func:`detect` as an Arrow-batched function of a text column; only the head of a text is sent to it."""
 
-    lists = stopwords.every()
-
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        stopwords.give(lists)
         return texts.map(detect)
 
     return lambda c: run(F.substring(c, 1, MOST_BYTES))

@@ -1,46 +1,36 @@
-"""Stop-words, from the lists that Spark ships for its StopWordsRemover."""
+"""Stop-words, from the lists that Spark ships for its StopWordsRemover; they lie beside this module in stopwords.txt."""
 
 from __future__ import annotations
 
 import functools
-import pathlib
 import unicodedata
-import zipfile
+from importlib import resources
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Languages of Spark's lists by their ISO 639-3 codes, in the order in which ties are decided.
-LISTS = {"dan": "danish", "deu": "german", "eng": "english", "fin": "finnish", "fra": "french", "hun": "hungarian", "ita": "italian", "nld": "dutch", "nob": "norwegian", "por": "portuguese", "rus": "russian", "spa": "spanish", "swe": "swedish", "tur": "turkish"}
+LISTS = ("dan", "deu", "eng", "fin", "fra", "hun", "ita", "nld", "nob", "por", "rus", "spa", "swe", "tur")
 #: Two-letter codes that data often carry.
 CODES = {"da": "dan", "de": "deu", "en": "eng", "fi": "fin", "fr": "fra", "hu": "hun", "it": "ita", "nl": "nld", "no": "nob", "nb": "nob", "pt": "por", "ru": "rus", "es": "spa", "sv": "swe", "tr": "tur"}
 
 
-_GIVEN: dict[str, tuple[str, ...]] = {}
-
-
-def every() -> dict[str, tuple[str, ...]]:
-    """All lists, to be sent to workers, which may have no jar files."""
-    return {x: words(x) for x in LISTS}
-
-
-def give(lists: dict[str, tuple[str, ...]]) -> None:
-    if not _GIVEN:
-        _GIVEN.update(lists)
+@functools.cache
+def _lists() -> dict[str, tuple[str, ...]]:
+    """The words of each language, lower-case, NFKD, sorted."""
+    held = (resources.files(__package__) / "stopwords.txt").read_text(encoding="utf-8")
+    rows = (line.split("\t") for line in held.splitlines() if line and not line.startswith("#"))
+    return {lang: tuple(sorted({unicodedata.normalize("NFKD", w.lower()) for w in ws.split()})) for lang, ws in rows}
 
 
-@functools.cache
 def words(lang: str) -> tuple[str, ...]:
-    """The stop-words of a language, lower-case, NFKD, sorted; none for a language without a list."""
-    if lang not in LISTS:
-        return ()
-    if lang in _GIVEN:
-        return _GIVEN[lang]
-    import pyspark
+    """The stop-words of a language; none for a language without a list."""
+    return _lists().get(lang, ())
+
 
-    jar = next(pathlib.Path(pyspark.__file__).parent.glob("jars/spark-mllib_*.jar"))
-    with zipfile.ZipFile(jar) as z:
-        found = z.read(f"org/apache/spark/ml/feature/stopwords/{LISTS[lang]}.txt").decode()
-    return tuple(sorted({unicodedata.normalize("NFKD", w.strip().lower()) for w in found.splitlines() if w.strip()}))
+def iso(lang: str | None) -> str | None:
+    """A language code in lower case with three letters; ``none`` stays, blank is null."""
+    x = (lang or "").strip().lower()
+    return CODES.get(x, x) or None
 
 
 @functools.cache
@@ -48,7 +38,7 @@ def _set(lang: str) -> frozenset:
     return frozenset(words(lang))
 
 
-def frame(spark: SparkSession, langs=tuple(LISTS)) -> DataFrame:
+def frame(spark: SparkSession, langs=LISTS) -> DataFrame:
     """(lang, lang_order, term); a fixed table of a few thousand rows."""
     rows = [(x, i, w) for i, x in enumerate(langs) for w in words(x)]
     return spark.createDataFrame(rows, "lang string, lang_order int, term string")

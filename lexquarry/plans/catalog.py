@@ -6,6 +6,8 @@ doc_id; ``benchmark`` passages are the queries.  Order is a column (rank), becau
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,14 +22,16 @@ _WHOLE = {"retain_word_objects": 1_000_000_000, "max_words": 1_000_000_000}
 WORDS = Config().with_(tokenization={"detect_special_patterns": False}, search={"match_normal_forms": False}, store=_WHOLE)
 SPECIALS = Config().with_(tokenization={"compat_split_special_patterns": False}, search={"match_normal_forms": False}, store=_WHOLE)
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+#: SQL of the queries; lists of stop-words are named in it and filled in by :func:`oracles`.
+_SQL: dict[str, str] = {}
+_MARK = re.compile(r"\{\{([a-z]+):([a-z,]*)\}\}")
 
 
 def query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
         if sql:
-            ORACLES[name] = sql
+            _SQL[name] = sql
         return f
 
     return add
@@ -75,8 +79,21 @@ def _plain(x: str) -> str:
 
 
 def _stop_sql(codes=("en", "fr", "de", "es")) -> str:
-    rows = [f"({_quoted(c)}, {_quoted(w)})" for c in codes for w in stopwords.words(stopwords.CODES[c])]
-    return f"stops(lang, term) as (values {', '.join(rows)})"
+    return f"stops(lang, term) as (values {{{{stops:{','.join(codes)}}}}})"
+
+
+def _fill(mark: re.Match) -> str:
+    kind, codes = mark[1], mark[2].split(",")
+    if kind == "stops":
+        rows = [(_quoted(c), _quoted(w)) for c in codes for w in stopwords.words(stopwords.CODES[c])]
+    else:  # with the place of the language
+        rows = [(_quoted(c), str(i), _quoted(w)) for i, c in enumerate(codes) for w in stopwords.words(c)]
+    return ", ".join(f"({', '.join(r)})" for r in rows)
+
+
+def oracles() -> dict[str, str]:
+    """DuckDB SQL for the queries that SQL can express."""
+    return {name: _MARK.sub(_fill, sql) for name, sql in _SQL.items()}
 
 
 WORD_SQL = f"regexp_extract_all(text, {_quoted(lexer.WORD_PLAIN)})"
@@ -183,8 +200,7 @@ def lex_stopwords_deny(spark, sf_dir):
 
 
 def _guess_sql() -> str:
-    rows = [f"({_quoted(x)}, {i}, {_quoted(w)})" for i, x in enumerate(langs.LANGS["latin"]) for w in stopwords.words(x)]
-    return f"""with stops(lang, o, term) as (values {', '.join(rows)}),
+    return f"""with stops(lang, o, term) as (values {{{{ranked:{','.join(langs.LANGS["latin"])}}}}}),
       seen as (select doc_id, unnest(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+')) as term from documents),
       hits as (select doc_id, lang, o, count(*) as n from seen join stops using (term) group by all),
       best as (select *, row_number() over (partition by doc_id order by n desc, o) as r from hits)

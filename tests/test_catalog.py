@@ -5,6 +5,7 @@ import pytest
 
 from lexquarry.plans import catalog
 
+ORACLES = catalog.oracles()
 SF = "/root/testdata/sf0.001"
 
 
@@ -18,11 +19,11 @@ def rows(cols, data):
 def test_query(spark, name):
     df = catalog.QUERIES[name](spark, SF)
     got = df.collect()
-    if name in catalog.ORACLES:
+    if name in ORACLES:
         con = duckdb.connect()
         for t in ("documents", "benchmark", "conversations", "part"):
             con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-        r = con.execute(catalog.ORACLES[name])
+        r = con.execute(ORACLES[name])
         cols = [d[0] for d in r.description]
         assert sorted(cols) == sorted(df.columns)
         assert rows(df.columns, [tuple(x) for x in got]) == rows(cols, r.fetchall())
@@ -42,7 +43,7 @@ def agrees(spark, name, sf):
     df, con = catalog.QUERIES[name](spark, sf), duckdb.connect()
     for t in ("documents", "benchmark", "conversations", "part"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
-    r = con.execute(catalog.ORACLES[name])
+    r = con.execute(ORACLES[name])
     assert rows(df.columns, [tuple(x) for x in df.collect()]) == rows([d[0] for d in r.description], r.fetchall())
 
 

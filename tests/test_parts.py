@@ -163,3 +163,15 @@ def test_readers(spark, tmp_path):
     want = [("q1", "d1", "1")]
     for name in ("a.parquet", "b.jsonl", "c.tsv"):
         assert [tuple(r) for r in read_any(spark, str(tmp_path / name)).select("query_id", "corpus_id", "score").collect()] == want
+
+
+def test_the_entry_needs_no_jar_of_spark(tmp_path):
+    """Imports and builds all SQL where pyspark has no jars beside it."""
+    import os
+    import pathlib
+    import subprocess
+    import sys
+
+    root = pathlib.Path(__file__).parent.parent
+    code = f"import pyspark; pyspark.__file__ = {str(tmp_path / '__init__.py')!r}; import __spark_entry__ as e; sql = e.oracle_sql(); assert set(sql) <= set(e.queries()) and len(sql) > 50 and not any('{{{{' in s for s in sql.values())"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(root), "SPARK_HOME": str(tmp_path)})
