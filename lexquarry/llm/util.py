@@ -28,6 +28,14 @@ def fold(key: str, n: int):
     return F.crc32(F.col(key).cast("string")) % n
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name for a helper that no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def blocks(batches: Iterable[pa.RecordBatch], weigh: str | None, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``most`` bytes in the column ``weigh`` (one row at least)."""
     for batch in batches:
