@@ -2,17 +2,19 @@
 
 Entities are found by patterns and split into parts (a name into given name and surname, a password line into its key
 and its value).  Each distinct part gets one surrogate, drawn from a keyed hash and shaped like the part: digits for
-digits, letters for letters, valid check digits, names of the same gender and script.  Surrogates that two parts share,
-or that are themselves parts of the corpus, are drawn again until all differ, so distinct entities stay distinct and
-mentions of one entity agree throughout the corpus.
+digits, letters for letters, valid check digits, names of the same gender and script.  A given name's gender is settled
+over all its mentions first.  Surrogates that two parts share, or that are themselves parts of the corpus, are drawn
+again until all differ, so distinct entities stay distinct and mentions of one entity agree throughout the corpus.
+
+Names are found after a title, after words that introduce a person, or by a common given name; others are not seen.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import materialise, table
+from .util import free_name, materialise, table
 
 #: Titles by gender, and given names by gender and script.
 TITLES = {"m": ("Mr", "Herr", "Señor", "Monsieur", "Господин", "Κύριος"), "f": ("Mrs", "Ms", "Miss", "Frau", "Mme", "Mlle", "Madame", "Señora", "Señorita", "Госпожа", "Κυρία"), "u": ("Dr", "Prof")}
@@ -29,9 +31,12 @@ SYLLABLES = {
     "cyrillic": ("бар", "бел", "вол", "гор", "дор", "зар", "кал", "лан", "мор", "нов", "пер", "рос", "сел", "тар", "фед", "хол"),
     "greek": ("βαρ", "γαλ", "δορ", "ζαν", "καλ", "λαμ", "μαρ", "νικ", "παλ", "ραν", "σαλ", "ταν", "φιλ", "χαρ", "ψαλ", "ωρα"),
 }
+#: Words that introduce a person.
+INTRODUCTIONS = ("my name is", "name is", "name:", "contact:", "signed,", "sincerely,", "regards,", "je m'appelle", "mon nom est", "nom:", "ich heiße", "mein Name ist", "Name:", "me llamo", "mi nombre es", "nombre:", "меня зовут", "με λένε")
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _CAPITAL = r"\p{Lu}[\p{L}'’-]+"
 _TITLE = "(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.? +"
+_AFTER = "(?<=(?:" + "|".join(f"[{i[0].upper()}{i[0].lower()}]{i[1:]}" for i in INTRODUCTIONS) + r")[ \n]{1,2})"
 _GIVEN = "(?:" + "|".join(n for ns in GIVEN.values() for n in ns) + ")"
 #: Numbers as they are written in fr, es, de and en: a country code with an optional trunk zero, or that zero, and groups.
 _ABROAD = r"(?:\+|00 ?)\d{1,3}[ .-]?(?:\(0\)[ .-]?)?"
@@ -50,14 +55,16 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "iban": r"(?<![A-Z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])",
     "phone": r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3,4}[ .-]?\d{4}(?![\w])|(?<!\w)\+\d{8,15}(?!\d)|(?<![\w+.-])(?:" + "|".join(_GROUPS) + ")",
-    "name": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{_TITLE}{_CAPITAL}(?: +{_CAPITAL})?|{_GIVEN} +{_CAPITAL})",
+    "name": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{_TITLE}{_CAPITAL}(?: +{_CAPITAL})?|{_GIVEN} +{_CAPITAL}|{_AFTER}{_CAPITAL} +{_CAPITAL})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Cheap tests, one of which every entity meets, to spare most texts the patterns.
 HINT = r"[0-9@=:]|AKIA"
-NAME_HINT = rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{_TITLE}|{_GIVEN} +)\p{{Lu}}"
+NAME_HINT = rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{_TITLE}|{_GIVEN} +|{_AFTER})\p{{Lu}}"
 #: Draws after which shapes give way so that a free surrogate must turn up.
 LOOSE = 6
+#: Parts drawn in one task, about.
+DRAWN = 8192
 
 
 def _kind(m: Column) -> Column:
@@ -78,20 +85,21 @@ def _gender(title: Column, given: Column) -> Column:
 
 
 def parts(m: Column) -> Column:
-    """The parts of a mention: structs of the text before the part, its kind, its canonical form and its raw form."""
+    """The parts of a mention: structs of the text before the part, its kind, the gender that a given name shows, its
+    canonical form and its raw form."""
     kind = _kind(m)
-    part = lambda before, kind, canon, raw: F.struct(before.alias("before"), kind.alias("kind"), canon.alias("canon"), raw.alias("raw"))
+    none = F.lit("")
+    part = lambda before, kind, canon, raw, gender=none: F.struct(before.alias("before"), kind.alias("kind"), gender.alias("gender"), canon.alias("canon"), raw.alias("raw"))
     cut = lambda g: F.regexp_extract(m, r"^([\s\S]*[=:]\s?[\"']?)([A-Za-z0-9_/+-]{8,})$", g)
     digits = F.regexp_replace(m, "[^0-9]", "")
-    none = F.lit("")
     title = F.regexp_extract(m, f"^({_TITLE})", 1)
     bare = F.substring(m, F.length(title) + 1, F.length(m))
     first, last = F.regexp_extract(bare, f"^({_CAPITAL})(?: +{_CAPITAL})$", 1), F.regexp_extract(bare, f"({_CAPITAL})$", 1)
     gap = F.regexp_extract(bare, f"^{_CAPITAL}( +){_CAPITAL}$", 1)
-    given_kind = F.concat(F.lit("given_"), _gender(title, first), F.lit("_"), _script(first))
+    given_kind = F.concat(F.lit("given_"), _script(first))
     surname_kind = F.concat(F.lit("surname_"), _script(last))
     name = F.when(first == "", F.array(part(title, surname_kind, F.lower(last), last))).otherwise(
-        F.array(part(title, given_kind, F.lower(first), first), part(gap, surname_kind, F.lower(last), last))
+        F.array(part(title, given_kind, F.lower(first), first, _gender(title, first)), part(gap, surname_kind, F.lower(last), last))
     )
     plain = F.array(part(none, kind, F.when(kind.isin("card", "phone", "ssn"), digits).when(kind == "email", F.lower(m)).when(kind == "iban", F.regexp_replace(m, " ", "")).otherwise(m), m))
     return F.when(kind == "name", name).when(kind == "secret", F.array(part(cut(1), kind, cut(2), cut(2)))).otherwise(plain)
@@ -135,7 +143,7 @@ def _luhn(body: Column) -> Column:
     return F.concat(body, ((10 - total % 10) % 10).cast("string"))
 
 
-def draw(kind: Column, canon: Column, turn: Column, key: str) -> Column:
+def draw(kind: Column, gender: Column, canon: Column, turn: Column, key: str) -> Column:
     """The surrogate of a part at its n-th draw."""
     seed = F.concat_ws("|", F.lit(key), kind, canon, turn.cast("string"))
     hexed = _bytes(seed, F.length(canon))
@@ -158,12 +166,12 @@ def draw(kind: Column, canon: Column, turn: Column, key: str) -> Column:
     # a trunk zero and the country codes of _GROUPS stay
     country = F.when(canon.rlike("^00"), 4).when(canon.startswith("0"), 1).when(canon.rlike("^(?:33|34|44|49)[0-9]{9,}$"), 2).otherwise(F.greatest(F.length(canon) - 10, F.lit(0)))
     phone = F.concat(F.substring(canon, F.lit(1), country), (2 + _byte(hexed, F.lit(0)) % 8).cast("string"), F.substring(alike, country + 2, F.length(canon)))
-    hexadecimal = F.when(canon.rlike("^[0-9a-f]+$"), "x").when(canon.rlike("^[0-9A-F]+$"), "X").otherwise("")
+    hexadecimal = F.when(canon.rlike("^(?=.*[a-f])[0-9a-f]+$"), "x").when(canon.rlike("^(?=.*[A-F])[0-9A-F]+$"), "X").otherwise("")
     script = F.regexp_extract(kind, "_([a-z]+)$", 1)
     pick = lambda options, j: F.element_at(F.array(*[F.lit(o) for o in options]), (_byte(hexed, j) % len(options) + 1).cast("int"))
 
     def given(s):
-        one = lambda j: F.when(kind.startswith("given_f"), pick(GIVEN["f", s], j)).when(kind.startswith("given_m"), pick(GIVEN["m", s], j)).otherwise(pick(GIVEN["m", s] + GIVEN["f", s], j))
+        one = lambda j: F.when(gender == "f", pick(GIVEN["f", s], j)).when(gender == "m", pick(GIVEN["m", s], j)).otherwise(pick(GIVEN["m", s] + GIVEN["f", s], j))
         more = F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(turn - 3, F.lit(0))), lambda j: pick(SYLLABLES[s], j + 3)), "")
         return F.when(turn == 0, one(F.lit(0))).when(turn < 3, F.concat(one(F.lit(0)), F.lit("-"), one(F.lit(1)))).otherwise(F.concat(one(F.lit(0)), F.lit("-"), F.initcap(more)))
 
@@ -177,22 +185,31 @@ def draw(kind: Column, canon: Column, turn: Column, key: str) -> Column:
 
 
 def surrogates(found: DataFrame, key: str) -> DataFrame:
-    """(kind, canon, surrogate) for the distinct parts in found (kind, canon).
+    """(kind, canon, surrogate) for the distinct parts in found (kind, gender, canon).
 
-    Until none is left over, parts whose surrogate another part with an earlier claim has, or which occurs in the corpus
-    as a part of this kind, draw again.
+    A given name that mentions show as male and female, or as neither, has no gender.  In each round the parts without a
+    surrogate draw one; who draws what is taken, what occurs in the corpus as a part of this kind, or what a part with a
+    smaller canonical form has drawn in this round, draws again in the next.  Rounds end when none is left over; most
+    parts are settled in the first, and only the rest are looked at again.
     """
-    now = materialise(found.select("kind", "canon").distinct().withColumn("turn", F.lit(0)), "pii-parts")
-    real = now.select("kind", F.col("canon").alias("folded"), F.lit(True).alias("is_real"))
-    folded = F.when(F.col("kind").rlike("^(?:given|surname)_"), F.lower("surrogate")).otherwise(F.col("surrogate"))
-    by = Window.partitionBy("kind", "folded").orderBy("turn", "canon")
-    while True:
-        drawn = now.withColumn("surrogate", draw(F.col("kind"), F.col("canon"), F.col("turn"), key)).withColumn("folded", folded)
-        checked = drawn.join(real, ["kind", "folded"], "left").withColumn("again", (F.row_number().over(by) > 1) | F.coalesce("is_real", F.lit(False)))
-        checked = materialise(checked.select("kind", "canon", "turn", "surrogate", "again"), "pii-drawn")
-        if checked.where("again").isEmpty():
-            return checked.select("kind", "canon", "surrogate")
-        now = checked.select("kind", "canon", (F.col("turn") + F.col("again").cast("int")).alias("turn"))
+    spark, name = found.sparkSession, F.col("kind").rlike("^(?:given|surname)_")
+    shown = lambda g: F.max((F.col("gender") == g).cast("int"))
+    gender = F.when(shown("m") > shown("f"), "m").when(shown("f") > shown("m"), "f").otherwise("")
+    now = materialise(found.groupBy("kind", "canon").agg(gender.alias("gender")), "pii-parts")
+    real = now.select("kind", F.col("canon").alias("folded"))
+    settled, turn = spark.createDataFrame([], "kind string, canon string, surrogate string, folded string"), 0
+    while n := now.count():
+        # a draw is costly: parts are dealt out evenly before it
+        dealt = now.repartition(-(-n // DRAWN), "kind", "canon")
+        drawn = dealt.withColumn("surrogate", draw(F.col("kind"), F.col("gender"), F.col("canon"), F.lit(turn), key))
+        drawn = materialise(drawn.withColumn("folded", F.when(name, F.lower("surrogate")).otherwise(F.col("surrogate"))), "pii-drawn")
+        # the few names of the first draw are drawn by very many: an aggregation combines them before the shuffle
+        first = drawn.groupBy("kind", "folded").agg(F.min(F.struct("canon", "surrogate")).alias("w")).select("kind", "folded", "w.*")
+        free = first.join(real, ["kind", "folded"], "left_anti").join(settled.select("kind", "folded"), ["kind", "folded"], "left_anti")
+        got = materialise(free.select("kind", "canon", "surrogate", "folded"), "pii-settled")
+        now = materialise(drawn.select("kind", "canon", "gender").join(got, ["kind", "canon"], "left_anti"), "pii-again")
+        settled, turn = settled.unionByName(got) if turn else got, turn + 1
+    return settled.select("kind", "canon", "surrogate")
 
 
 def _shaped(kind: Column, raw: Column, surrogate: Column) -> Column:
@@ -210,26 +227,31 @@ def replace_pii(docs: DataFrame, *, text: str = "text", key: str = "lexquarry")
     """docs with every entity in ``text`` replaced, and n_entities (number of mentions) and kinds (theirs, in order).
 
     Null texts stay null and have no entities.  The same key gives the same surrogates for the same corpus.  Repeated rows
-    are replaced alike.  Columns of docs with the added names are replaced.
+    are replaced alike.  Columns of docs with the added names are replaced, all others stay.  An empty table gives none.
     """
     base = docs.drop("n_entities", "kinds")
     names = base.columns
+    gaps, sorts, pieces, row = (free_name(base, x) for x in ("gaps", "sorts", "pieces", "row"))
     has = F.coalesce((F.col(text).rlike(HINT) | F.col(text).rlike(NAME_HINT)) & F.col(text).rlike(ANY), F.lit(False))
     rest = base.where(~has).withColumn("n_entities", F.lit(0).cast("long")).withColumn("kinds", F.array().cast("array<string>"))
-    found = base.where(has).withColumn("_m", F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).withColumn("_g", F.split(text, ANY, -1))
-    found = found.withColumn("_kinds", F.transform("_m", _kind)).withColumn("_parts", F.transform("_m", parts)).withColumn("_uid", F.monotonically_increasing_id())
-    found = materialise(found.drop("_m", text), "pii-found")
-    flat = found.select("_uid", F.posexplode("_parts").alias("_i", "_ps"), F.col("_g")).select("_uid", "_i", F.element_at("_g", F.col("_i") + 1).alias("_gap"), F.posexplode("_ps").alias("_j", "_p"))
-    flat = flat.select("_uid", "_i", "_j", F.when(F.col("_j") == 0, F.col("_gap")).otherwise("").alias("_gap"), "_p.*")
-    chosen = surrogates(flat.select("kind", "canon"), key)
-    piece = F.concat("_gap", "before", _shaped(F.col("kind"), F.col("raw"), F.col("surrogate")))
-    put = flat.join(chosen, ["kind", "canon"]).select("_uid", F.struct("_i", "_j", piece.alias("s")).alias("x"))
-    put = put.groupBy("_uid").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["s"]), "").alias("_head"))
-    made = found.join(put, "_uid").withColumn(text, F.concat("_head", F.element_at("_g", -1)))
-    made = made.withColumn("n_entities", F.size("_kinds").cast("long")).withColumn("kinds", F.col("_kinds"))
+    mentions = free_name(base, "mentions")
+    found = base.where(has).withColumn(mentions, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).withColumn(gaps, F.split(text, ANY, -1))
+    found = found.withColumn(sorts, F.transform(mentions, _kind)).withColumn(pieces, F.transform(mentions, parts)).withColumn(row, F.monotonically_increasing_id())
+    found = materialise(found.drop(mentions, text), "pii-found")
+    lean = found.select(F.col(row).alias("row"), F.col(gaps).alias("gaps"), F.col(pieces).alias("pieces"))
+    flat = lean.select("row", "gaps", F.posexplode("pieces").alias("i", "ps")).select("row", "i", F.element_at("gaps", F.col("i") + 1).alias("gap"), F.posexplode("ps").alias("j", "p"))
+    flat = flat.select("row", "i", "j", F.when(F.col("j") == 0, F.col("gap")).otherwise("").alias("gap"), "p.*")
+    chosen = surrogates(flat.select("kind", "gender", "canon"), key)
+    piece = F.concat("gap", "before", _shaped(F.col("kind"), F.col("raw"), F.col("surrogate")))
+    put = flat.join(chosen, ["kind", "canon"]).select("row", F.struct("i", "j", piece.alias("s")).alias("x"))
+    put = put.groupBy("row").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["s"]), "").alias("head"))
+    head = free_name(found, "head")
+    made = found.join(put.select(F.col("row").alias(row), F.col("head").alias(head)), row).withColumn(text, F.concat(head, F.element_at(gaps, -1)))
+    made = made.withColumn("n_entities", F.size(sorts).cast("long")).withColumn("kinds", F.col(sorts))
     out = [*names, "n_entities", "kinds"]
     return rest.select(*out).unionByName(made.select(*out))
 
 
 def op3_pii_surrogates(spark, sf_dir: str) -> DataFrame:
+    """:func:`replace_pii` of ``documents``: doc_id, n_entities, kinds, text.  Null texts stay null, repeated rows are alike."""
     return replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_entities", "kinds", "text")

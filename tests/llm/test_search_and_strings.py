@@ -204,3 +204,39 @@ def test_national_numbers_and_short_cards(spark):
         assert got[i].kinds == [kind] and n not in got[i].text, n
         assert re.sub(r"\d", "0", got[i].text) == re.sub(r"\d", "0", f"call {n}, please"), n
     assert [got[100 + i].text for i in range(len(plain))] == plain
+
+
+def test_names_stay_distinct_and_agree_over_ten_thousand(spark):
+    """Every canonical name has one surrogate, whatever its titles; no two share one; none is a name of the corpus."""
+    import re
+    from collections import defaultdict
+
+    rng = random.Random(11)
+    given = ["Robin", "Sasha", "Kim", "James", "Mary", "Leeez", "Jean", "Anna"] + [f"Gi{a}{b}{c}" for a in "abcdefgh" for b in "aeiou" for c in "lmnrst"]
+    last = [f"Su{a}{b}{c}" for a in "bcdfghklmn" for b in "aeiou" for c in "pqrstvwxyz"]
+    names = list({(rng.choice(given), rng.choice(last)) for _ in range(14000)})[:10000]
+    rows = [(i, f"{rng.choice(['Mr', 'Mrs', 'Dr', 'my name is'])} {g} {s}") for i, (g, s) in enumerate(names)] + [(20000 + i, f"Dr {g} {s}") for i, (g, s) in enumerate(names)]
+    spoken = re.compile(r"(?:Mr|Mrs|Dr|my name is) ([\w-]+) (\w+)$")
+    out = {r.doc_id: spoken.match(r.text).groups() for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    first, second = defaultdict(set), defaultdict(set)
+    for i, (g, s) in enumerate(names):
+        for k in (i, 20000 + i):
+            first[g].add(out[k][0])
+            second[s].add(out[k][1])
+    for seen, real in ((first, given), (second, last)):
+        assert all(len(x) == 1 for x in seen.values())
+        drawn = [min(x) for x in seen.values()]
+        assert len(set(drawn)) == len(drawn) and not set(drawn) & set(real)
+
+
+def test_formats_and_clashing_columns_of_personal_data(spark):
+    import re
+
+    rows = [(1, "password: 1234567890", 5, "x", [1], 7), (2, "token=deadbeef01", 5, "x", [1], 7), (3, "hello, my name is Kim Lee.", 5, "x", [1], 7), (4, None, 5, "x", [1], 7), (5, "", None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gaps long, Sorts string, pieces array<int>, row long")
+    got = {r.doc_id: r for r in pii.replace_pii(df).collect()}
+    assert re.fullmatch(r"password: \d{10}", got[1].text) and got[1].text != rows[0][1]
+    assert re.fullmatch(r"token=[0-9a-f]{10}", got[2].text) and got[2].text != rows[1][1]
+    assert "Kim Lee" not in got[3].text and got[3].kinds == ["name"]
+    assert got[4].text is None and got[5].text == "" and got[4].n_entities == got[5].n_entities == 0
+    assert all((got[r[0]].gaps, got[r[0]].Sorts, got[r[0]].pieces, got[r[0]].row) == r[2:] for r in rows)
