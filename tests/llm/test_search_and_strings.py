@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lexquarry.llm import ann, fingerprint, pii, registry, substrings
@@ -10,7 +11,11 @@ from lexquarry.llm import ann, fingerprint, pii, registry, substrings
 SF = "/root/testdata/sf0.01"
 
 
-def test_neighbours_against_brute_force(spark):
+@pytest.mark.parametrize("blocks", [(32768, 8192), (60, 4)])
+def test_neighbours_against_brute_force(spark, monkeypatch, blocks):
+    """In one block, and in nine blocks of vectors by three of queries."""
+    monkeypatch.setattr(ann, "VECTORS", blocks[0])
+    monkeypatch.setattr(ann, "QUERIES", blocks[1])
     got = {}
     for r in registry.QUERIES["op4_collision_ann"](spark, SF).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
@@ -37,6 +42,14 @@ def test_neighbours_edges(spark):
     assert ann.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_neighbours_of_extreme_vectors_and_shared_keys(spark):
+    rows = [(0, [1e200, 1e200]), (1, [0.0, 1.0]), (2, [1e-200, 0.0]), (0, [5e-324, 0.0]), (3, [-1e308, 1e308])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = sorted((r.query_id, round(r.score, 6) + 0.0, r.vec_id) for r in ann.nearest(df, F.col("vec_id") == 0).collect())
+    half = 0.707107
+    assert out == sorted([(0, half, 0), (0, half, 1), (0, half, 2), (0, 0.0, 3), (0, 1.0, 2), (0, half, 0), (0, 0.0, 1), (0, -half, 3)])
+
+
 def brute_repeats(rows, n=200):
     data = [(d, (t or "").encode()) for d, t in rows]
     count = Counter(x[i : i + n] for _, x in data for i in range(len(x) - n + 1))
