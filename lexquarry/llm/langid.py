@@ -9,6 +9,7 @@ one, no path with switches can win.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -18,14 +19,31 @@ from pyspark.sql import types as T
 
 from .util import column, fold, map_blocks, table, texts
 
-#: Labelled rows that the fit uses at most (expected size of a sample by hash), trigrams kept for a language.
-MAX_LABELLED, MAX_GRAMS = 20_000, 30_000
+#: Labelled rows that the fit uses at most (expected size of a sample by hash).
+MAX_LABELLED = 20_000
 #: Cost of a switch and the most that one word counts for, in nats.
 SWITCH, WORD_MOST = 14.0, 4.0
 #: Words that a worker remembers.
 MEMO = 300_000
 UND = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _class(kinds: str) -> str:
+    """The code points of the general categories that begin with one of ``kinds``, as ranges of a regular expression."""
+    out, start = [], None
+    for c in range(0x110001):
+        within = c < 0x110000 and unicodedata.category(chr(c))[0] in kinds
+        if within and start is None:
+            start = c
+        elif not within and start is not None:
+            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+            start = None
+    return "".join(out)
+
+
+#: A word: a letter and the letters and marks that follow; numeric signs are none.
+_WORD = re.compile(f"[{_class('L')}][{_class('LM')}]*")
+_ASCII_WORD = re.compile("[A-Za-z]+")
 #: First code points of blocks of letters and the script that begins there.
 SCRIPTS = (
     (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"), (0x0700, "Other"),
@@ -143,11 +161,15 @@ def summarise(model: LanguageModel, words: list[str], path: np.ndarray, scores:
 
 
 def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", max_labelled: int = MAX_LABELLED) -> LanguageModel:
-    """Fit on the rows of docs whose language is known; more than ``max_labelled`` are sampled by hash to about that many."""
+    """Fit on the rows of docs whose language is known; more than ``max_labelled`` are sampled by hash to about that many.
+
+    Rows with a null language or text are left out, a null key is one like others, equal rows count each, and without rows
+    there is a model that knows no language.  The trigrams of the labelled rows, and only theirs, reach the driver.
+    """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("_k"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     n = known.count()
     if n > max_labelled:
-        known = known.where(F.pmod(F.xxhash64(F.lit("fit"), "_k"), F.lit(1 << 30)) < int((1 << 30) * max_labelled / n))
+        known = known.where(F.pmod(F.xxhash64(F.lit("fit"), "_k", "text"), F.lit(1 << 30)) < int((1 << 30) * max_labelled / n))
 
     def count(block):
         found: dict[tuple, Counter] = defaultdict(Counter)
@@ -162,21 +184,16 @@ def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str
 
     total = map_blocks(known, lambda: count, "kind string, lang string, item string, n long").groupBy("kind", "lang", "item").agg(F.sum("n").alias("n"))
     counts, scripts = defaultdict(Counter), defaultdict(Counter)
-    ranked = total.select("*", F.row_number().over(_by_count()).alias("_r")).where(F.col("_r") <= MAX_GRAMS)
-    for r in ranked.collect():
+    for r in total.collect():
         (counts if r["kind"] == "gram" else scripts)[r["lang"]][r["item"]] += r["n"]
     return LanguageModel(dict(counts), scripts)
 
 
-def _by_count():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "item")
-
-
 def words_of(text: str) -> list[str]:
     """The words of a text in lower case.  Where lower-casing lengthens it, words are found first: a new mark would split one."""
     low = text.lower()
+    if low.isascii():
+        return _ASCII_WORD.findall(low)
     return _WORD.findall(low) if len(low) == len(text) else [w.lower() for w in _WORD.findall(text)]
 
 
@@ -189,7 +206,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", spans
     base = docs.drop("lang_pred", "score", "spans")
     names = base.columns
     added = T._parse_datatype_string("lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string>>" * spans)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_GRAMS for a language
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the labelled rows
 
     def make():
         m = shared.value
@@ -210,6 +227,12 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", spans
 
 def spans_of(model: LanguageModel, text: str, path: np.ndarray) -> list[dict]:
     """Runs of words of one language; path has a place for each word of the text as written."""
+    if len(path) and model.langs and (path == path[0]).all():  # one run: its first and last word are enough
+        first, last = _WORD.search(text), None
+        for last in _WORD.finditer(text, max(first.start(), len(text) - 200)):
+            pass
+        if last and (last.end() - last.start() < 100 or last.start() == first.start()):
+            return [{"start": first.start(), "end": last.end(), "lang": model.langs[path[0]]}]
     found = [m.span() for m in _WORD.finditer(text)]
     if len(found) != len(path) or not model.langs:
         return []
@@ -223,6 +246,7 @@ def spans_of(model: LanguageModel, text: str, path: np.ndarray) -> list[dict]:
 
 
 def op6_language_spans(spark, sf_dir: str) -> DataFrame:
+    """:func:`identify` on ``documents``: doc_id, held_out, lang_pred, score, spans; texts without a letter are ``und``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = train(docs.where(fold("doc_id", 4) != 2))
-    return identify(docs.select("doc_id", "text"), model, spans=False).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "spans")

@@ -104,10 +104,10 @@ def test_shortcut_of_the_path_equals_viterbi():
 
 def test_languages_of_spans_and_edges(spark):
     model = toy_model()
-    rows = [(1, "the house and this " * 9 + "das haus und dies " * 9), (2, None), (3, "1234 !"), (4, ""), (5, "это дом"), (6, "漢字"), (7, "the " * 50000)]
+    rows = [(1, "the house and this " * 9 + "das haus und dies " * 9), (2, None), (3, "1234 !"), (4, ""), (5, "это дом"), (6, "漢字"), (7, "the " * 50000), (8, "① ½ ² Ⅷ"), (9, "\u0301 \u0300")]
     got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
     assert [s.lang for s in got[1].spans] == ["en", "de"] and got[1].spans[1].start == len("the house and this " * 9)
-    assert all(got[i].lang_pred == "und" and got[i].score == 0 and got[i].spans == [] for i in (2, 3, 4))
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 and got[i].spans == [] for i in (2, 3, 4, 8, 9))
     assert got[5].lang_pred == "ru" and got[6].lang_pred in ("de", "en", "ru") and got[7].lang_pred == "en"
     empty = langid.train(spark.createDataFrame([], "doc_id long, text string, lang string"))
     assert [r.lang_pred for r in langid.identify(spark.createDataFrame(rows[:1], "doc_id long, text string"), empty).collect()] == ["und"]
@@ -117,3 +117,34 @@ def test_spans_of_a_text_that_lower_case_lengthens(spark):
     text = "İx " + "the house and this " * 9 + "das haus und dies " * 9
     got = langid.identify(spark.createDataFrame([(1, text)], "doc_id long, text string"), toy_model()).collect()[0]
     assert [s.lang for s in got.spans][-2:] == ["en", "de"] and got.spans[-1].end == len(text.rstrip())
+
+
+def test_words_keep_their_marks():
+    assert langid.words_of("नमस्ते Ab1c ½x") == ["नमस्ते", "ab", "c", "x"]
+
+
+def test_spans_of_one_language_are_those_of_all_words():
+    rng = random.Random(4)
+    model = toy_model()
+    for _ in range(300):
+        text = "".join(rng.choice(["the", "Das", " ", "1", "é", "İ", "é́", ".", "x" * 150]) for _ in range(rng.randint(0, 60)))
+        words = [m.span() for m in langid._WORD.finditer(text)]
+        want = [{"start": words[0][0], "end": words[-1][1], "lang": "en"}] if words else []
+        assert langid.spans_of(model, text, np.full(len(words), model.langs.index("en"))) == want
+
+
+def test_labels_of_the_query_against_plain_viterbi(spark):
+    """op6 on the whole table at sf0.01: the labels are those of a plain dynamic programme over every text."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(docs.where(langid.fold("doc_id", 4) != 2))
+    rows = {r.doc_id: r for r in registry.QUERIES["op6_language_spans"](spark, SF).collect()}
+    for d in docs.collect():
+        words = langid.words_of(d.text or "")
+        if not words:
+            assert (rows[d.doc_id].lang_pred, rows[d.doc_id].score) == ("und", 0.0)
+            continue
+        path = langid.viterbi(np.array([model.word(w) for w in words]), model.switch)
+        letters = np.bincount(path, [len(w) for w in words], len(model.langs))
+        got = rows[d.doc_id]
+        assert got.lang_pred == model.langs[int(letters.argmax())] or len(set(np.sort(letters)[-2:])) == 1
+        assert [s.lang for s in got.spans] == [model.langs[j] for i, j in enumerate(path) if not i or path[i - 1] != j]
