@@ -70,29 +70,40 @@ class LanguageModel:
         """counts: trigrams by language; scripts: words by language and script."""
         self.langs, self.switch = sorted(counts, key=str.encode), switch
         size = len(set().union(*counts.values())) + 1 if counts else 1
-        self.table: dict[str, np.ndarray] = {}
         totals = np.array([sum(counts[x].values()) for x in self.langs], dtype=float)
-        self.floor = np.log(0.5 / (totals + 0.5 * size))
+        # row 0 is that of all trigrams that were not seen
+        self.place = {g: i + 1 for i, g in enumerate(sorted(set().union(*counts.values())))} if counts else {}
+        self.rows = np.tile(np.log(0.5 / (totals + 0.5 * size)), (len(self.place) + 1, 1))
         for j, x in enumerate(self.langs):
-            for g, n in counts[x].items():
-                self.table.setdefault(g, self.floor.copy())[j] = np.log((n + 0.5) / (totals[j] + 0.5 * size))
+            at = np.fromiter((self.place[g] for g in counts[x]), dtype=np.int64, count=len(counts[x]))
+            self.rows[at, j] = np.log((np.array(list(counts[x].values()), dtype=float) + 0.5) / (totals[j] + 0.5 * size))
         seen = defaultdict(list)
         for j, x in enumerate(self.langs):
             whole = sum(scripts[x].values())
             for s, n in scripts[x].items():
                 if n >= 0.01 * whole:
                     seen[s].append(j)
-        self.candidates = {s: np.array(js) for s, js in seen.items()}
+        #: For each block of SCRIPTS which languages are candidates.
+        self.candidates = np.array([[j in seen[s] for j in range(len(self.langs))] for _, s in SCRIPTS], dtype=bool).reshape(len(SCRIPTS), len(self.langs))
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """For each word and language, nats below the best one; no more than WORD_MOST.  A script that no language uses decides nothing."""
+        if not words or not self.langs:
+            return np.zeros((len(words), len(self.langs)))
+        get, flat, starts = self.place.get, [], []
+        for w in words:
+            v = f"^{w}$"
+            starts.append(len(flat))
+            flat += [get(v[i : i + 3], 0) for i in range(len(w))]
+        s = np.add.reduceat(self.rows[flat], starts, axis=0)
+        among = self.candidates[np.searchsorted(_STARTS, [ord(w[0]) for w in words], side="right") - 1]
+        best = np.where(among, s, -np.inf).max(axis=1, keepdims=True)
+        out = np.where(among, np.maximum(s - np.where(np.isfinite(best), best, 0), -WORD_MOST), -WORD_MOST)
+        out[~among.any(axis=1)] = 0
+        return out
 
     def word(self, w: str) -> np.ndarray:
-        """For each language, nats below the best one; no more than WORD_MOST.  A script that no language uses decides nothing."""
-        among = self.candidates.get(script(w))
-        if among is None:
-            return np.zeros(len(self.langs))
-        s = np.sum([self.table.get(g, self.floor) for g in grams(w)], axis=0)
-        out = np.full(len(self.langs), -WORD_MOST)
-        out[among] = np.maximum(s[among] - s[among].max(), -WORD_MOST)
-        return out
+        return self.words([w])[0]
 
 
 def viterbi(s: np.ndarray, switch: float) -> np.ndarray:
@@ -120,20 +131,21 @@ class Labeller:
         self.model, self.memo = model, {}
         self.scores = np.zeros((1024, max(1, len(model.langs))))
 
-    def _id(self, w: str) -> int:
-        i = self.memo[w] = len(self.memo)
-        if i >= len(self.scores):
-            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-        self.scores[i] = self.model.word(w)
-        return i
-
-    def paths(self, docs: list[list[str]]) -> list[np.ndarray]:
-        """For each list of words, the language of each word."""
+    def paths(self, docs: list[list[str]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For each list of words the language of each word, and each language's score over all of them."""
         if len(self.memo) > MEMO:
             self.memo.clear()
-        get, new = self.memo.get, self._id
-        ids = [np.array([new(w) if (i := get(w)) is None else i for w in d], dtype=np.int64) for d in docs]
-        return self.settle([self.scores[i] for i in ids])
+        new = list(set().union(*docs).difference(self.memo))
+        for a in range(0, len(new), 1 << 14):
+            some = new[a : a + (1 << 14)]
+            n = len(self.memo)
+            while n + len(some) > len(self.scores):
+                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            self.scores[n : n + len(some), : len(self.model.langs)] = self.model.words(some)
+            self.memo.update(zip(some, range(n, n + len(some))))
+        at = self.memo.__getitem__
+        each = [self.scores[np.fromiter(map(at, d), dtype=np.int64, count=len(d))] for d in docs]
+        return self.settle(each), [s.sum(axis=0) for s in each]
 
     def settle(self, each: list[np.ndarray]) -> list[np.ndarray]:
         switch, out = self.model.switch, []
@@ -149,15 +161,17 @@ class Labeller:
         return out
 
 
-def summarise(model: LanguageModel, words: list[str], path: np.ndarray, scores: np.ndarray) -> tuple[str, float]:
+def summarise(model: LanguageModel, words: list[str], path: np.ndarray, total: np.ndarray) -> tuple[str, float]:
     """The language with the most letters, and its share of the letters times its odds over the whole text."""
     if not words or not model.langs:
         return UND, 0.0
-    letters = np.bincount(path, [len(w) for w in words], len(model.langs))
-    j = int(letters.argmax())
-    total = scores.sum(axis=0)
+    j, share = int(path[0]), 1.0
+    if (path != j).any():
+        letters = np.bincount(path, [len(w) for w in words], len(model.langs))
+        j = int(letters.argmax())
+        share = letters[j] / letters.sum()
     sure = 1 / np.exp(np.minimum(total - total[j], 50)).sum()
-    return model.langs[j], float(letters[j] / letters.sum() * sure)
+    return model.langs[j], float(share * sure)
 
 
 def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", max_labelled: int = MAX_LABELLED) -> LanguageModel:
@@ -215,8 +229,8 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", spans
         def work(block):
             raw = [t or "" for t in texts(block, text)]
             words = [words_of(t) for t in raw]
-            paths = labeller.paths(words) if m.langs else [np.zeros(0)] * len(words)
-            said = [summarise(m, w, p, labeller.scores[[labeller.memo[x] for x in w]] if w and m.langs else None) for w, p in zip(words, paths)]
+            paths, totals = labeller.paths(words) if m.langs else ([np.zeros(0)] * len(words),) * 2
+            said = [summarise(m, w, p, s) for w, p, s in zip(words, paths, totals)]
             out = {f: column(block, f) for f in names} | {"lang_pred": [x for x, _ in said], "score": [x for _, x in said]}
             return out | ({"spans": [spans_of(m, t, p) for t, p in zip(raw, paths)]} if spans else {})
 
