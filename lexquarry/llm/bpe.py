@@ -10,6 +10,7 @@ vocabularies never crosses a blank, so the sequence is then exactly that of the
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Callable
 
@@ -143,11 +144,38 @@ def encoder_of(path: str | None) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
+#: What the joins count on.  Blanks end every piece, and signs are no part of a word.
+NORMALISERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+class UnknownLayout(ValueError):
+    """A vocabulary whose pieces may cross blanks, or that decodes otherwise: joins could not be repaired."""
+
+
+def check_layout(spec: dict) -> None:
+    """Raise :class:`UnknownLayout` unless the tokenizer's file describes what chunks and joins are made for."""
+    cut = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    fits = (
+        spec["model"].get("type") == "BPE" and not spec["model"].get("dropout") and spec.get("decoder") is None and spec.get("post_processor") is None
+        and (spec.get("normalizer") or {}).get("normalizers") == NORMALISERS
+        and len(cut) == 2 and cut[0].get("pattern") == {"Regex": SPLIT} and (cut[0].get("behavior"), cut[0].get("invert")) == ("Removed", True)
+        and cut[1].get("type") == "ByteLevel" and not cut[1].get("add_prefix_space") and not cut[1].get("use_regex")
+        and not any(" " in a["content"] or a.get("lstrip") or a.get("rstrip") for a in spec.get("added_tokens", []))
+    )
+    if not fits:
+        raise UnknownLayout("chunk reuse is laid out for word-level BPE vocabularies that split at blanks and have no decoder")
+
+
 def load(path: str | None):
+    """The tokenizer, without truncation and padding; files of another layout are refused."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path or default_path())
+    path = path or default_path()
+    with open(path, encoding="utf-8") as f:
+        check_layout(json.load(f))
+    t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
     return t
@@ -202,4 +230,5 @@ def digests(docs: DataFrame, *, path: str | None = None, text: str = "text") ->
 
 
 def op5_bpe_chunks(spark, sf_dir: str) -> DataFrame:
+    """:func:`digests` of ``documents``: doc_id, n_tokens, ids_sha256, decoded_sha256; a null text counts as empty."""
     return digests(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")

@@ -48,3 +48,16 @@ def test_frames(spark):
     assert [(r.n_tokens, r.ids) for r in rows] == [(len(i), i) for i in (t.encode(r.text or "", add_special_tokens=False).ids for r in rows)]
     assert [r.decoded for r in bpe.decode(bpe.encode(docs)).collect()] == [t.decode(t.encode(r.text or "", add_special_tokens=False).ids, skip_special_tokens=False) for r in rows]
     assert bpe.digests(docs.limit(0)).count() == 0
+
+
+def test_other_layouts_are_refused(tmp_path):
+    import json
+    import os
+
+    spec = json.load(open(bpe.default_path()))
+    bpe.check_layout(spec)
+    for change in ({"decoder": {"type": "ByteLevel"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"normalizer": None}, {"added_tokens": [{"content": "a b"}]}):
+        with pytest.raises(bpe.UnknownLayout):
+            bpe.check_layout(spec | change)
+    with pytest.raises(bpe.UnknownLayout):
+        bpe.load(os.path.join(os.path.dirname(bpe.default_path()), "byte_bpe_50k.json"))
