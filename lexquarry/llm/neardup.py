@@ -18,6 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -157,18 +158,30 @@ def _first_meeting(k: str, x: str, y: str, chunks: int = CHUNKS):
 
 
 def _packed(shards: int):
+    """Names of a block's texts by shard.  Names that several of its texts have come once, with a null rep: they are shared
+    in any case, so a name that is very common is sent once for a block and not for each text."""
+
     def work(block: pa.RecordBatch) -> dict:
         out: dict[str, list] = {"shard": [], "rep": [], "h": [], "names": []}
-        for rep, text in zip(column(block, "doc_id").to_pylist(), column(block, "text").to_pylist()):
-            names, h = shingles(text), xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass")) >> 1
+
+        def deal(rep, h, names):
             at = (names % np.uint64(shards)).astype(np.int64)
             names = names[np.argsort(at, kind="stable")]
-            for k, n in zip(*np.unique(at, return_counts=True)):
+            for k, n in zip(*np.unique(at, return_counts=True)) if len(names) else [(h % shards, 0)]:
                 out["shard"].append(int(k))
                 out["rep"].append(rep)
                 out["h"].append(h)
                 out["names"].append(names[:n].tobytes())
                 names = names[n:]
+
+        raw = column(block, "text").to_pylist()
+        each = [shingles(t) for t in raw]
+        known, inverse, count = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
+        lone, at = count[inverse] == 1, 0
+        for rep, text, names in zip(column(block, "doc_id").to_pylist(), raw, each):
+            deal(rep, xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass")) >> 1, names[lone[at : at + len(names)]])
+            at += len(names)
+        deal(None, 0, known[count > 1])
         return out
 
     return work
@@ -177,10 +190,13 @@ def _packed(shards: int):
 def _alone(t: pa.Table) -> pa.Table:
     """How many shingles of each document are in no other, within a shard of names."""
     parts = [np.frombuffer(x, dtype=np.uint64) for x in t.column("names").to_pylist()]
-    _, inverse, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-    once = count[inverse] == 1
-    ends = np.cumsum([len(x) for x in parts])
-    return pa.table({"rep": t.column("rep"), "h": t.column("h"), "own": np.diff(np.append(0, np.cumsum(once)[ends - 1])).astype(np.int64)})
+    reps = t.column("rep").to_pylist()
+    common = [x for x, rep in zip(parts, reps) if rep is None]
+    _, inverse, count = np.unique(np.concatenate(parts + common), return_inverse=True, return_counts=True)
+    once = np.append(0, np.cumsum(count[inverse] == 1))
+    own = np.diff(once[np.cumsum([0] + [len(x) for x in parts])]).astype(np.int64)
+    out = pa.table({"rep": t.column("rep"), "h": t.column("h"), "own": own})
+    return out.filter(pc.is_valid(out.column("rep")))
 
 
 def own_shingles(texts: DataFrame, total: int) -> DataFrame:
@@ -191,7 +207,8 @@ def own_shingles(texts: DataFrame, total: int) -> DataFrame:
     """
     shards = max(1, -(-total // SHARD_NAMES))
     packed = map_blocks(texts, lambda: _packed(shards), "shard long, rep long, h long, names binary")
-    each = packed.groupBy("shard").applyInArrow(_alone, "rep long, h long, own long").groupBy("rep", "h").agg(F.sum("own").alias("own"))
+    each = packed.groupBy("shard").applyInArrow(_alone, "rep long, h long, own long")
+    each = each.groupBy("rep", "h").agg(F.sum("own").alias("own"))
     return each.groupBy("rep").agg(F.when(F.count("*") == 1, F.max("own")).otherwise(0).alias("own"))  # a key with several texts: no bound
 
 
@@ -280,4 +297,5 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 
 def op1_minhash_components(spark, sf_dir: str) -> DataFrame:
+    """:func:`near_duplicates` of ``documents``; texts without words are linked with nothing, repeated rows with each other."""
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))

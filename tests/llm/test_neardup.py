@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from lexquarry.llm import neardup
 
@@ -100,3 +100,24 @@ def test_a_pair_is_met_once(spark):
         want += [(pair, 1)] if (x == y).any() else []
     df = spark.createDataFrame(rows, "pair int, k int, x binary, y binary").where(neardup._first_meeting("k", "x", "y"))
     assert sorted((r["pair"], r["count"]) for r in df.groupBy("pair").count().collect()) == want
+
+
+def test_own_shingles_against_brute_force(spark):
+    """Common names, texts that share everything, and a key with two texts; in one block and in several."""
+    rng = random.Random(9)
+    line = " ".join(f"l{i}" for i in range(12))
+    rows = [(i, f"{line} " + " ".join(rng.choice("abcd") + str(rng.randrange(40)) for _ in range(rng.randint(0, 40)))) for i in range(60)] + [(60, line), (61, line), (62, "p q r s t u"), (62, "p q r s t v w")]
+    sets = [(k, set(neardup.shingles(t).tolist())) for k, t in rows]
+    seen = Counter(x for _, s in sets for x in s)
+    want = {k: sum(seen[x] == 1 for x in s) for k, s in sets} | {62: 0}
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert {r.rep: r.own for r in neardup.own_shingles(df, 5 << 20).collect()} == want
+
+
+def test_the_query_on_whole_tables(spark):
+    """op1 against all pairs that share a shingle, at sf0.01."""
+    sf = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.op1_minhash_components(spark, sf).collect()}
+    assert got == set(brute(rows))
