@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import WORD, fold, table
+from .util import WORD, fold, free_name, labelled, table
 
 #: Labelled rows that the fit uses at most (expected size of a sample by hash).
 MAX_LABELLED = 20_000
@@ -131,27 +131,36 @@ class RuleEnsemble:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", max_labelled: int = MAX_LABELLED) -> RuleEnsemble:
-    """Fit on the labelled rows of docs; where there are more than ``max_labelled``, on a sample of that size by hash."""
+    """Fit on the labelled rows of docs; where there are more than ``max_labelled``, on a sample of about that size by hash.
+
+    Rows with a null label or key are left out; of several labels of a key the largest counts; equal rows count once.
+    Null texts are texts without characters.  Without rows, or with one label only, there are no rules.
+    """
     marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("_y"))
     n = marks.count()
     if n > max_labelled:
         marks = marks.where(F.pmod(F.xxhash64(F.lit("fit"), F.col(key)), F.lit(1 << 30)) < int((1 << 30) * max_labelled / n))
-    rows = docs.select(key, text).join(marks, key)
-    stats = statistics(F.col(text))
-    got = rows.select(F.col(key).alias("_k"), *[c.alias(k) for k, c in stats.items()], "_y").toPandas()
+    rows = labelled(docs, marks, key, text, max_labelled)
+    stats = statistics(F.col("text"))
+    got = rows.select("_k", *[c.alias(k) for k, c in stats.items()], "_y").toPandas()
     got = got.sort_values(list(got.columns)).reset_index(drop=True)
     return RuleEnsemble.fit(list(stats), got[list(stats)].to_numpy(float), got["_y"].to_numpy(float))
 
 
 def classify(docs: DataFrame, model: RuleEnsemble, *, text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """docs with score (0 to 1) and predicted.  Null and empty texts are scored by their statistics, as any text."""
-    stats = statistics(F.col(text))
-    held = docs.drop("score", "predicted").withColumn("_s", F.struct(*[c.alias(k) for k, c in stats.items()]))
-    scored = held.withColumn("score", model.score({k: F.col("_s")[k] for k in stats})).drop("_s")
+    """docs with score (0 to 1) and predicted.  Null and empty texts are scored by their statistics, as any text.
+
+    Repeated rows are scored alike, an empty table gives none; columns with the added names are replaced, all others stay.
+    """
+    stats, base = statistics(F.col(text)), docs.drop("score", "predicted")
+    s = free_name(base, "statistics")
+    held = base.withColumn(s, F.struct(*[c.alias(k) for k, c in stats.items()]))
+    scored = held.withColumn("score", model.score({k: F.col(s)[k] for k in stats})).drop(s)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """:func:`classify` on ``documents``: doc_id, held_out, score, predicted; null texts have a score like others."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality")
     model = train(docs, labels.where(fold("doc_id", 5) != 0))
     return classify(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")

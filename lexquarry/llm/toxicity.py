@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import column, fold, map_blocks, materialise, table, texts
+from .util import column, fold, labelled, map_blocks, materialise, table, texts
 
-#: Labelled rows that the fit uses at most, terms, and neighbours.
-MAX_LABELLED, MAX_TERMS, NEIGHBOURS, BLOCK = 20_000, 4096, 15, 64
+#: Labelled rows that the fit uses at most, neighbours, and entries of a block.
+MAX_LABELLED, NEIGHBOURS, BLOCK = 20_000, 15, 64
 #: How much more often than overall the texts with a term are toxic, at least.
 LIFT = 3.0
 #: Results that a worker remembers, for vectors of so many terms at most: these come again and again.
@@ -66,7 +66,7 @@ def _distinct_features(block: pa.RecordBatch) -> dict:
     return {"term": out, "clean": [seen[f][0] for f in out], "toxic": [seen[f][1] for f in out]}
 
 
-def select_terms(rows: DataFrame, n0: int, n1: int, most: int = MAX_TERMS) -> list[str]:
+def select_terms(rows: DataFrame, n0: int, n1: int) -> list[str]:
     """Terms by the log-likelihood ratio; the limit grows with the vocabulary so that about one term passes by chance."""
     counts = map_blocks(rows, lambda: _distinct_features, "term string, clean long, toxic long", most=1 << 19).groupBy("term").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b")).where("a + b >= 3")
     counts = materialise(counts, "tox-terms")
@@ -75,10 +75,10 @@ def select_terms(rows: DataFrame, n0: int, n1: int, most: int = MAX_TERMS) -> li
     both = a + b
     g = 2 * (x(a, both * (n0 / n)) + x(b, both * (n1 / n)) + x(n0 - a, (n - both) * (n0 / n)) + x(n1 - b, (n - both) * (n1 / n)))
     lifted = b / both >= min(0.5, LIFT * n1 / n)  # terms that speak for a toxic text, not those of a language or topic
-    ranked = counts.where(lifted).withColumn("g", g).where(F.col("g") > 10).orderBy(F.col("g").desc(), "term").limit(most)
+    ranked = counts.where(lifted).withColumn("g", g).where(F.col("g") > 10)
     size = max(2, counts.count())
     least = max(10.0, 2 * math.log(size) - math.log(math.log(size)) - 1.14)
-    return sorted(r["term"] for r in ranked.collect() if r["g"] >= least)
+    return sorted(r["term"] for r in ranked.where(F.col("g") >= least).select("term").collect())
 
 
 class BlockMaxIndex:
@@ -198,14 +198,15 @@ def calibrate(votes: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float
 def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", max_labelled: int = MAX_LABELLED) -> ToxicityModel:
     """Fit on the labelled rows of docs; more than ``max_labelled`` are sampled by hash to about that many.
 
+    Rows with a null label or key are left out; of several labels of a key the largest counts; equal rows count once; null
+    texts have no terms.  Without rows of both labels there are no terms, and every text gets the labels' smoothed share.
     Document frequencies of the terms are counted over all rows of docs.
     """
     marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("_y"))
     n = marks.count()
     if n > max_labelled:
         marks = marks.where(F.pmod(F.xxhash64(F.lit("fit"), F.col(key)), F.lit(1 << 30)) < int((1 << 30) * max_labelled / n))
-    rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("text")).join(marks.withColumnRenamed(key, "_k"), "_k")
-    rows = materialise(rows, "tox-labelled")
+    rows = labelled(docs, marks, key, text, max_labelled)
     have = {r["_y"]: r["n"] for r in rows.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = have.get(0, 0), have.get(1, 0)
     terms = select_terms(rows, n0, n1) if n0 and n1 else []
@@ -249,7 +250,7 @@ def score(docs: DataFrame, model: ToxicityModel, *, text: str = "text", threshol
     Ties among neighbours go to the example found first, the same one on every run.  Columns of docs with the added names are replaced.
     """
     base = docs.drop("score", "predicted", "evidence")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_labelled and MAX_TERMS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_labelled
     added = T._parse_datatype_string("score double, predicted int, evidence array<struct<id:string,cosine:double,toxic:int>>")
     schema, names = T.StructType(base.schema.fields + added.fields), base.columns
 
@@ -267,6 +268,7 @@ def score(docs: DataFrame, model: ToxicityModel, *, text: str = "text", threshol
 
 
 def op2_toxicity_knn(spark, sf_dir: str) -> DataFrame:
+    """:func:`score` of ``documents``: doc_id, held_out, score, predicted; null and empty texts have a score like others."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = train(docs, labels.where(fold("doc_id", 3) != 1))
     return score(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")

@@ -36,6 +36,20 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def labelled(docs: DataFrame, marks: DataFrame, key: str, text: str, most: int) -> DataFrame:
+    """(_k, text, _y) of the rows of docs whose key has a mark (key, _y), equal rows once, written.
+
+    Where keys repeat with different texts there can be more rows than marks; above twice ``most`` they are sampled by a
+    hash of key and text to about ``most``, so what is fitted stays bounded.
+    """
+    rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("text")).join(marks.withColumnRenamed(key, "_k"), "_k")
+    rows = materialise(rows.dropDuplicates(["_k", "text", "_y"]), "labelled")
+    n = rows.count()
+    if n > 2 * most:
+        rows = rows.where(F.pmod(F.xxhash64(F.lit("rows"), "_k", "text"), F.lit(1 << 30)) < int((1 << 30) * most / n))
+    return rows
+
+
 def blocks(batches: Iterable[pa.RecordBatch], weigh: str | None, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``most`` bytes in the column ``weigh`` (one row at least)."""
     for batch in batches:
