@@ -10,10 +10,11 @@ stand.  A fingerprint is the SKETCH smallest names of the levels from FIRST_LEVE
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .neardup import mixed
@@ -24,6 +25,8 @@ FIRST_LEVEL, LAST_LEVEL, SKETCH = 3, 5, 64
 _C = np.uint64(0x9E3779B97F4A7C15)
 #: Code points that are parsed at a time (one text at least).
 CHARS = 1 << 19
+#: Rows of a range, about; bounds of a group, within which a row's range is looked up; most groups.
+RANGE_ROWS, GROUP, MOST_GROUPS = 2048, 256, 256
 
 
 def _labels(x: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -118,7 +121,8 @@ def edited(text: str, following: str) -> str:
 
 
 def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_chars, fingerprint for each row; null counts as empty; empty texts have the empty fingerprint."""
+    """key, n_chars, fingerprint for each row; null counts as empty; empty texts have the empty fingerprint; equal texts
+    have equal ones.  Other columns of docs are left out."""
     from .util import column, map_blocks
 
     lean = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -162,33 +166,47 @@ def _follow(batches):
         held = rows[-1:]
 
 
+def _range_of(ident: Column, bounds: list[int]) -> Column:
+    """How many of the falling bounds are above ident: groups are told apart by their last bounds, then one is searched."""
+    above = lambda xs: F.size(F.filter(xs, lambda b: b > ident))
+    as_array = lambda xs, kind: F.from_json(F.lit(json.dumps(xs)), kind)  # noqa: E731  one literal, whatever the number
+    if len(bounds) < GROUP:
+        return above(as_array(bounds, "array<long>")).cast("int")
+    groups = [bounds[i : i + GROUP] for i in range(0, len(bounds), GROUP)]
+    group = above(as_array([g[-1] for g in groups if len(g) == GROUP], "array<long>"))
+    within = F.coalesce(F.get(as_array(groups, "array<array<long>>"), group), as_array([], "array<long>"))
+    return (group * GROUP + above(within)).cast("int")
+
+
 def edited_fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, whose last third comes from the next one in descending key order.
 
     Null texts count as empty, null keys come last, rows with equal keys are ordered by text; after the last row comes the
-    first; a single row follows itself.  Rows are dealt into ranges of keys; the first row of a range is also sent to the
-    range before it, so that ranges are worked on apart, as streams.  doc_id, n_chars and the columns of the op10 query.
+    first; a single row follows itself.  An empty table gives no rows.  Rows are dealt into ranges of keys (65,536 at most;
+    they then hold more rows, which are worked on as streams); the first row of a range is also sent to the range before
+    it, so that ranges are worked on apart.  doc_id, n_chars and the columns of the op10 query.
     """
     lean = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ident = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     n = lean.count()
-    parts = max(1, min(256, -(-n // 2048)))
-    bounds = lean.agg(F.percentile_approx(ident, [i / parts for i in range(1, parts)], 10000)).head()[0] if parts > 1 else []
-    bounds = sorted(set(bounds or []), reverse=True)
-    rng = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b > ident)) if bounds else F.lit(0)
+    parts = max(1, min(GROUP * MOST_GROUPS, -(-n // RANGE_ROWS)))
+    cuts = [i / parts for i in range(1, parts)]
+    bounds = lean.agg(F.percentile_approx(ident, cuts, max(10000, 4 * parts))).head()[0] if cuts else []
+    rng = _range_of(ident, sorted(set(bounds or []), reverse=True))
     ranged = lean.withColumn("rng", rng)
-    heads = {r["rng"]: r["head"] for r in lean.select("doc_id").withColumn("rng", rng).groupBy("rng").agg(F.max(ident).alias("head")).collect()}
-    order = sorted(heads)
-    trails = [(heads[order[(i + 1) % len(order)]], r) for i, r in enumerate(order)]
-    trail = F.create_map(*[F.lit(x) for pair in trails for x in (pair[0], pair[1])]) if trails else None
-    if trail is None:
+    # one row for each range: its first key, and the range before it, which that row follows
+    heads = sorted((r["rng"], r["head"]) for r in ranged.select("rng", ident.alias("ident")).groupBy("rng").agg(F.max("ident").alias("head")).collect())
+    if not heads:
         return lean.sparkSession.createDataFrame([], _OUT)
-    also = F.element_at(trail, ident)
-    copies = F.array_compact(F.array(F.struct(F.col("rng").alias("rng"), F.lit(False).alias("trailing")), F.when(also.isNotNull(), F.struct(also.alias("rng"), F.lit(True).alias("trailing")))))
-    dealt = ranged.withColumn("_c", F.explode(copies)).select("_c.rng", "_c.trailing", "doc_id", "text")
-    sorted_rows = dealt.repartition(max(1, len(order)), "rng").sortWithinPartitions("rng", "trailing", F.desc_nulls_last("doc_id"), "text")
+    trails = [(heads[(i + 1) % len(heads)][1], r) for i, (r, _) in enumerate(heads)]
+    trail = lean.sparkSession.createDataFrame(trails, "head long, also int")
+    ranged = ranged.join(F.broadcast(trail), ident == F.col("head"), "left")  # a row for each range, GROUP * MOST_GROUPS at most
+    copies = F.array_compact(F.array(F.struct(F.col("rng").alias("rng"), F.lit(False).alias("trailing")), F.when(F.col("also").isNotNull(), F.struct(F.col("also").alias("rng"), F.lit(True).alias("trailing")))))
+    dealt = ranged.withColumn("copy", F.explode(copies)).select("copy.rng", "copy.trailing", "doc_id", "text")
+    sorted_rows = dealt.repartition(len(heads), "rng").sortWithinPartitions("rng", "trailing", F.desc_nulls_last("doc_id"), "text")
     return sorted_rows.mapInArrow(_follow, _OUT)
 
 
 def op10_lcp_fingerprints(spark, sf_dir: str) -> DataFrame:
+    """:func:`edited_fingerprints` of ``documents``; null texts count as empty."""
     return edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))

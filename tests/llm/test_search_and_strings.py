@@ -140,7 +140,11 @@ def test_labels_of_neighbours_differ():
     assert lab.max() < 6 and (lab[1:] != lab[:-1])[inner].all()
 
 
-def test_edited_texts(spark, monkeypatch):
+@pytest.mark.parametrize("rows_of_a_range", [2048, 4, 1])
+def test_edited_texts(spark, monkeypatch, rows_of_a_range):
+    """In one range, in several, and in several groups of bounds."""
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", rows_of_a_range)
+    monkeypatch.setattr(fingerprint, "GROUP", 8)
     rows = [(3, "abc def ghi jkl"), (1, None), (2, ""), (9, "é" * 31), (9, "a long one " * 40), (7, "x"), (None, "none"), (12, "tail " * 20000), (4, "abc def ghi jkl")]
     rows += [(100 + i, f"text {i} " * i) for i in range(40)]
     want, order = [], sorted(((-(1 << 63) if d is None else d, t or "") for d, t in rows), key=lambda r: (-r[0], r[1]))
@@ -253,3 +257,38 @@ def test_formats_and_clashing_columns_of_personal_data(spark):
     assert "Kim Lee" not in got[3].text and got[3].kinds == ["name"]
     assert got[4].text is None and got[5].text == "" and got[4].n_entities == got[5].n_entities == 0
     assert all((got[r[0]].gaps, got[r[0]].Sorts, got[r[0]].pieces, got[r[0]].row) == r[2:] for r in rows)
+
+
+def plain_fingerprint(text):
+    """The phrases of locally consistent parsing, symbol by symbol."""
+    mix, c, full = (lambda h: int(fingerprint.mixed(np.array([h], dtype=np.uint64))[0])), int(fingerprint._C), (1 << 64) - 1
+    x, names = [mix((ord(s) + 1) * c & full) for s in text], set()
+    for level in range(1, fingerprint.LAST_LEVEL + 1) if text else ():
+        runs = []
+        for s in x:
+            runs.append([s, 1]) if not runs or runs[-1][0] != s else runs[-1].__setitem__(1, runs[-1][1] + 1)
+        y = [s if n == 1 else mix((s + n * c) & full) for s, n in runs]
+        label = y
+        for _ in range(4):
+            before = [label[0] ^ 1, *label[:-1]]
+            low = [((a ^ b) & -(a ^ b)).bit_length() - 1 for a, b in zip(label, before)]
+            label = [2 * k + (a >> k & 1) for a, k in zip(label, low)]
+        starts = [i for i in range(len(y)) if i == 0 or (i < len(y) - 1 and label[i - 1] < label[i] > label[i + 1])]
+        x = []
+        for a, b in zip(starts, [*starts[1:], len(y)]):
+            x.append(mix(sum(mix((y[i] + (i - a) * c) & full) for i in range(a, b)) & full))
+        if level >= fingerprint.FIRST_LEVEL:
+            names |= {mix((s + level) & full) >> 32 for s in x}
+    return sorted(names)[: fingerprint.SKETCH]
+
+
+def test_fingerprints_against_plain_parsing(spark):
+    """Texts of the query's table at sf0.01, and odd ones."""
+    with np.errstate(over="ignore"):
+        got = {r.doc_id: r.fingerprint for r in registry.QUERIES["op10_lcp_fingerprints"](spark, SF).select("doc_id", "fingerprint").collect()}
+        docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 1500").collect()
+        assert len(docs) > 100
+        for d in docs[:150]:
+            assert fingerprint.read(got[d.doc_id]).tolist() == plain_fingerprint(d.text or "")
+        for t in ("a", "aaaa", "abab" * 40, ""):
+            assert fingerprint.sketches([t])[0].tolist() == plain_fingerprint(t)
