@@ -57,7 +57,7 @@ def lex(text: str, config: Config, lang: str | None = None, cleanup: bool = True
 
     Without a language the text is guessed, for clean-up and for stemming; ``none`` turns clean-up off.
     """
-    code = stopwords.CODES.get(lang or "", lang)
+    code = stopwords.iso(lang)
     if code == "none":
         code, cleanup = None, False
     if code is None and (cleanup or config.normalization.stemming_enabled):

@@ -46,6 +46,9 @@ LANGS = {
     "malayalam": ("mal",), "mandarin": ("cmn",), "myanmar": ("mya",), "oriya": ("ori",), "sinhala": ("sin",), "tamil": ("tam",), "telugu": ("tel",), "thai": ("tha",),
     "latin": tuple(x for x in stopwords.LISTS if x != "rus"),
 }
+#: The codes that LANG takes.
+KNOWN = frozenset("""afr aka amh ara aze bel ben bul cat ces cmn cym dan deu ell eng epo est fin fra guj heb hin hrv hun hye ind ita jav jpn kan kat khm kor lat lav
+lit mal mar mkd mya nep nld nob ori pan pes pol por ron rus sin slk slv sna spa srp swe tam tel tgl tha tuk tur ukr urd uzb vie yid zul""".split())
 #: Bytes below which nothing is detected, bytes looked at, bytes below which trigrams come first.
 LEAST_BYTES, MOST_BYTES, SHORT_BYTES = 20, 200, 60
 

@@ -121,38 +121,48 @@ def needs_exact(config: Config) -> bool:
 def tokens(df: DataFrame, config: Config, *, text: str = "text", lang: str | None = "lang", cleanup: bool = True, exact: bool = False) -> DataFrame:
     """One row for each distinct term of each row of df, in order: df's columns (without text) and term, special, bytes, pos.
 
-    ``lang`` names a column of ISO 639 codes; ``none`` there turns the clean-up off, null means that stop-words of no
-    language are dropped (resolve it by :func:`lexquarry.functions.langs.detect` first, to have texts guessed).  Words
-    denied by the configuration always go in clean-up mode.  Null texts have no terms.
+    ``lang`` names a column of language codes in either case; ``none`` there turns the clean-up off, and where it is null
+    or blank the language is guessed from the text's head.  Without such a column nothing is guessed, and only words that
+    the configuration denies go.  Null texts have no terms.
     """
+    rest = [c for c in df.columns if c != text]
     if exact or needs_exact(config):
         from .exact import lex_udf
 
-        found = lex_udf(config)(F.col(text), F.col(lang) if lang else F.lit(None).cast("string"))
-        rest = [c for c in df.columns if c != text]
-    else:
-        rest = [c for c in df.columns if c != text]
-        part = parts(F.col(text), config)
-        df = df.select(*rest, *[c.alias(k) for k, c in part.items()])  # found once, then put together
-        found = assemble({k: F.col(k) for k in part}, config)
+        found = lex_udf(config, cleanup)(F.col(text), F.col(lang) if lang else F.lit("und"))
+        return df.select(*rest, F.posexplode(found).alias("pos", "_t")).select(*rest, "_t.term", "_t.special", "_t.bytes", "pos")
+    part = parts(F.col(text), config)
+    code = {"_code": language(F.col(lang), F.col(text))} if lang and cleanup else {}
+    df = df.select(*rest, *[c.alias(k) for k, c in (part | code).items()])  # found once, then put together
+    found = assemble({k: F.col(k) for k in part}, config)
     # the first of equal terms is kept: a term counts once for a text, with its first place and length
-    rows = df.select(*rest, F.posexplode(found).alias("pos", "_t")).select(*rest, "_t.term", "_t.special", "_t.bytes", "pos")
-    if cleanup:
-        rows = drop_stopwords(rows, config, lang)
-    return rows
+    rows = df.select(*rest, *code, F.posexplode(found).alias("pos", "_t")).select(*rest, *code, "_t.term", "_t.special", "_t.bytes", "pos")
+    return drop_stopwords(rows, config, "_code" if code else None).drop(*code) if cleanup else rows
+
+
+def language(lang: Column, text: Column) -> Column:
+    """The language of a text: the code that is given, else what :func:`lexquarry.functions.langs.detect` makes of its head.
+
+    Only heads of texts without a code are sent to Python.
+    """
+    from .langs import detect_udf
+
+    given = stopwords.iso_column(lang)
+    return F.coalesce(given, detect_udf()(F.when(given.isNull(), text)))
 
 
 def drop_stopwords(rows: DataFrame, config: Config, lang: str | None = "lang") -> DataFrame:
     """rows (with term) without stop-words; the lists are a fixed, small table that is broadcast."""
+    deny = stopwords.forms(config.stopwords.deny)
     if not lang:
-        return rows.where(~F.col("term").isin(*config.stopwords.deny)) if config.stopwords.deny else rows
+        return rows.where(~F.col("term").isin(*deny)) if deny else rows
     listed = stopwords.frame(rows.sparkSession).select(F.col("lang").alias("_l"), F.col("term").alias("_s"))
     if config.stopwords.allow:
-        listed = listed.where(~F.col("_s").isin(*config.stopwords.allow))
-    code = F.coalesce(*[F.when(F.col(lang) == a, b) for a, b in stopwords.CODES.items()], F.col(lang))
+        listed = listed.where(~F.col("_s").isin(*stopwords.forms(config.stopwords.allow)))
+    code = stopwords.iso_column(F.col(lang))
     out = rows.join(F.broadcast(listed), (code == F.col("_l")) & (F.col("term") == F.col("_s")), "left_anti")
-    if config.stopwords.deny:
-        out = out.where((F.coalesce(F.col(lang), F.lit("")) == "none") | ~F.col("term").isin(*config.stopwords.deny))
+    if deny:
+        out = out.where((F.coalesce(code, F.lit("")) == "none") | ~F.col("term").isin(*deny))
     return out
 
 

@@ -6,7 +6,8 @@ import functools
 import unicodedata
 from importlib import resources
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Languages of Spark's lists by their ISO 639-3 codes, in the order in which ties are decided.
 LISTS = ("dan", "deu", "eng", "fin", "fra", "hun", "ita", "nld", "nob", "por", "rus", "spa", "swe", "tur")
@@ -33,14 +34,26 @@ def iso(lang: str | None) -> str | None:
     return CODES.get(x, x) or None
 
 
+def forms(words) -> tuple[str, ...]:
+    """Words as they are and composed: what the same word may look like in a text."""
+    return tuple(sorted({f for w in words for f in (w, unicodedata.normalize("NFC", w))}))
+
+
+def iso_column(lang: Column) -> Column:
+    """:func:`iso` of a column."""
+    x = F.lower(F.trim(lang))
+    known = F.create_map(*[F.lit(v) for pair in CODES.items() for v in pair])
+    return F.when(x != "", F.coalesce(F.element_at(known, x), x))
+
+
 @functools.cache
 def _set(lang: str) -> frozenset:
     return frozenset(words(lang))
 
 
 def frame(spark: SparkSession, langs=LISTS) -> DataFrame:
-    """(lang, lang_order, term); a fixed table of a few thousand rows."""
-    rows = [(x, i, w) for i, x in enumerate(langs) for w in words(x)]
+    """(lang, lang_order, term) with composed and decomposed forms; a fixed table of a few thousand rows."""
+    rows = [(x, i, w) for i, x in enumerate(langs) for w in forms(words(x))]
     return spark.createDataFrame(rows, "lang string, lang_order int, term string")
 
 

@@ -85,9 +85,9 @@ def _stop_sql(codes=("en", "fr", "de", "es")) -> str:
 def _fill(mark: re.Match) -> str:
     kind, codes = mark[1], mark[2].split(",")
     if kind == "stops":
-        rows = [(_quoted(c), _quoted(w)) for c in codes for w in stopwords.words(stopwords.CODES[c])]
+        rows = [(_quoted(c), _quoted(w)) for c in codes for w in stopwords.forms(stopwords.words(stopwords.CODES[c]))]
     else:  # with the place of the language
-        rows = [(_quoted(c), str(i), _quoted(w)) for i, c in enumerate(codes) for w in stopwords.words(c)]
+        rows = [(_quoted(c), str(i), _quoted(w)) for i, c in enumerate(codes) for w in stopwords.forms(stopwords.words(c))]
     return ", ".join(f"({', '.join(r)})" for r in rows)
 
 
@@ -152,12 +152,15 @@ def _odd_terms(spark, sf_dir):
     return d.select("doc_id", lexer.fold_case(F.col("w")).alias("term")).distinct()
 
 
+#: All special patterns, each a group.
+_GROUPS = "|".join(f"({p if k != 'ipv4' else p.replace('(', '(?:', 1)})" for k, p in lexer.SPECIALS)
+
+
 def _special(kind: str):
     at = [k for k, _ in lexer.SPECIALS].index(kind)
-    groups = "|".join(f"({p if k != 'ipv4' else p.replace('(', '(?:', 1)})" for k, p in lexer.SPECIALS)
     value = {"phone": "regexp_replace(v, '[^0-9+]', '', 'g')", "ipv4": "regexp_replace(v, '[^0-9]$', '')"}.get(kind, "v")
     sql = f"""select doc_id, {value} as term, count(*) as n from (
-        select doc_id, unnest(regexp_extract_all(text, {_quoted(groups)}, {at + 1})) as v from documents) where v <> '' group by all"""
+        select doc_id, unnest(regexp_extract_all(text, {_quoted(_GROUPS)}, {at + 1})) as v from documents) where v <> '' group by all"""
 
     def run(spark, sf_dir):
         d = table(spark, sf_dir, "documents").select("doc_id", F.explode(lexer.specials(F.col("text"))).alias("s"))
@@ -368,21 +371,15 @@ def query_full(spark, sf_dir):
     return _shown(search.search(asked(spark, sf_dir, _CUT(), 30), index_of(spark, sf_dir), config))
 
 
-_MAILS = "[A-Za-z0-9.]+@[A-Za-z0-9]+[.][A-Za-z0-9.]*[A-Za-z0-9]"
+_MAIL_SQL = f"select lang, doc_id, unnest(regexp_extract_all(text, {_quoted(_GROUPS)}, 1)) as mail from documents"
 
 
-@query(
-    "query_special_and",
-    f"""with mails as (select distinct lang, doc_id, unnest(regexp_extract_all(text, '{_MAILS}')) as mail from documents),
-      asked as (select lang, mail, row_number() over (order by lang, mail) as qid from (select distinct lang, mail from mails where regexp_matches(mail, '^[a-z]+[.][0-9]+@mail[0-9][.]example[.]com$'))),
-      hits as (select a.qid, d.doc_id from asked a join documents d on d.lang = a.lang and regexp_matches(d.text, '(^|[^A-Za-z0-9.+_-])' || regexp_replace(a.mail, '[.]', '[.]', 'g') || '($|[^A-Za-z0-9._-])') )
-      select mail, count(*) as docs, min(doc_id) as first_doc from hits join asked using (qid) group by mail""",
-)
+@query("query_special_and", f"select mail, count(*) as docs, min(doc_id) as first_doc from (select distinct lang, doc_id, mail from ({_MAIL_SQL}) where mail <> '') group by mail")
 def query_special_and(spark, sf_dir):
-    """E-mail addresses of the shape that the SQL asks for, each in its bucket: all of a query's tokens must be present."""
+    """Every e-mail address that stands in a text, asked for in that text's bucket: all of a query's tokens must be present."""
     d = table(spark, sf_dir, "documents")
-    mails = d.select("lang", F.explode(F.regexp_extract_all("text", F.lit(_MAILS), F.lit(0))).alias("mail")).where(F.col("mail").rlike(r"^[a-z]+[.][0-9]+@mail[0-9][.]example[.]com$")).distinct()
-    q = mails.select(F.row_number().over(Window.orderBy("lang", "mail")).cast("long").alias("qid"), F.lit("documents").alias("collection"), F.col("lang").alias("bucket"), F.col("mail").alias("terms"), F.lit(1 << 62).alias("limit"), F.lit(0).cast("long").alias("offset"), "lang")
+    mails = d.select("lang", F.explode(lexer.specials(F.col("text"))).alias("s")).where("s.kind = 'email'").select("lang", F.col("s.term").alias("mail")).distinct()
+    q = mails.select(F.xxhash64("lang", "mail").alias("qid"), F.lit("documents").alias("collection"), F.col("lang").alias("bucket"), F.col("mail").alias("terms"), F.lit(1 << 62).alias("limit"), F.lit(0).cast("long").alias("offset"), "lang")
     config = SPECIALS.with_(search={"query_alternates_try": 0, "query_minimum_term_idf": 0.0})
     hits = search.search(q, index_of(spark, sf_dir, config), config).join(q.select("qid", "terms"), "qid")
     return hits.groupBy(F.col("terms").alias("mail")).agg(F.count("*").alias("docs"), F.min(F.substring("object_id", 5, 20).cast("long")).alias("first_doc"))
@@ -569,8 +566,10 @@ def _eval_inputs(spark, sf_dir):
     # passages are found by their first words: an equi-join on the shingles that passages begin with
     head = lambda t: F.array_join(F.slice(F.split(t, r"[ \n]"), 1, 4), " ")
     ws = F.col("ws")
-    shingled = d.select("doc_id", "text", F.split("text", r"[ \n]").alias("ws")).select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - 3, F.lit(1))), lambda i: F.array_join(F.slice(ws, i, 4), " ")))).alias("head"))
-    rel = b.select(F.col("item_id").alias("qid"), F.col("text").alias("passage"), head(F.col("text")).alias("head")).join(shingled, "head").where(F.col("text").contains(F.col("passage")))
+    shingled = d.select("doc_id", F.split("text", r"[ \n]").alias("ws")).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - 3, F.lit(1))), lambda i: F.array_join(F.slice(ws, i, 4), " ")))).alias("head"))
+    passages = b.select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
+    near = passages.select("qid", head(F.col("passage")).alias("head")).join(shingled, "head").select("qid", "doc_id").distinct()
+    rel = near.join(passages, "qid").join(d.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("passage")))
     qrels = rel.select("qid", F.concat(F.lit("doc:"), "doc_id").alias("object_id"), F.lit(1).alias("rel")).distinct()
     run = search.search(asked(spark, sf_dir, F.col("text"), 100), index_of(spark, sf_dir), _EXACT)
     return run.select("qid", "rank", "object_id"), qrels
@@ -611,6 +610,13 @@ def lex_stem_en(spark, sf_dir):
     return rows.groupBy("doc_id").agg(F.countDistinct("term").alias("n_stems"))
 
 
+@query("lex_auto_lang")
+def lex_auto_lang(spark, sf_dir):
+    """Texts without a language hint: the language is guessed, and its stop-words go."""
+    rows = lexer.tokens(documents(spark, sf_dir).select(F.col("seq").alias("doc_id"), "text", F.lit(None).cast("string").alias("lang")), WORDS)
+    return rows.groupBy("doc_id").agg(F.countDistinct("term").alias("n_terms"))
+
+
 @query("lex_nfkc")
 def lex_nfkc(spark, sf_dir):
     config = SPECIALS.with_(normalization={"unicode_normalization": "nfkc"})

@@ -97,11 +97,12 @@ def _number(most: int) -> Callable[[str], int]:
 
 
 def _language(value: str) -> str:
-    from .functions.langs import LANGS
+    """A language code in either case, or ``none``."""
+    from .functions.langs import KNOWN
 
-    if value != "none" and value not in {x for xs in LANGS.values() for x in xs} and not re.fullmatch("[a-z]{3}", value):
+    if value != "none" and value.lower() not in KNOWN:
         raise ValueError(value)
-    return value
+    return value.lower()
 
 
 _LIMIT, _OFFSET, _LANG = {"LIMIT": _number(LIMIT_MAX)}, {"OFFSET": _number(OFFSET_MAX)}, {"LANG": _language}

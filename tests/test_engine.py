@@ -208,3 +208,32 @@ def test_retain_keeps_ties_whole(spark):
     rows = [("c", "b", "t", f"o{i}", i, i) for i in range(300)]
     kept, lost = oplog.retain(spark.createDataFrame(rows, "collection string, bucket string, term string, object_id string, iid long, link_seq long"), 120)
     assert {r.iid for r in kept.collect()} == set(range(180, 300)) and lost.count() == 180
+
+
+SENTENCES = [
+    ("the house and the garden are what they wanted to have when it was summer", "eng"), ("der Hund und die Katze sind nicht mit dem Vater in das Haus gegangen", "deu"),
+    ("je ne sais pas ce que nous avons dans la maison de mon père", "fra"), ("café été à même", None), ("short text", None), ("it was the", None),
+]
+
+
+@pytest.mark.parametrize("hint", [None, "", "ENG", "Fr", "none", "eng"])
+def test_column_lexer_and_full_lexer_agree_on_languages(spark, hint):
+    from lexquarry.functions import exact, lexer
+
+    config = BASE.with_(normalization={"diacritic_folding_enabled": False}, stopwords={"deny": ("garden", "été"), "allow": ("was",)})
+    df = spark.createDataFrame([(i, t, hint) for i, (t, _) in enumerate(SENTENCES)], "i int, text string, lang string")
+    for cleanup in (True, False):
+        rows = lexer.distinct_terms(lexer.tokens(df, config, cleanup=cleanup), ["i"]).collect()
+        full = lexer.tokens(df, config, cleanup=cleanup, exact=True).collect()
+        for i, (t, _) in enumerate(SENTENCES):
+            want = [w for _, w, _ in exact.lex(t, config, hint, cleanup)]
+            assert [r.term for r in sorted(rows, key=lambda r: r.pos) if r.i == i] == want == [r.term for r in full if r.i == i]
+
+
+def test_languages_are_guessed_on_push_and_query(spark):
+    ops = [("push", "c", "b", f"o{i}", t, hint) for i, (t, hint) in enumerate([(SENTENCES[0][0], None), (SENTENCES[1][0], None), (SENTENCES[2][0], "FRA"), (SENTENCES[2][0], "none")])]
+    m, index = play(ops, BASE), run_log(spark, ops, BASE)
+    assert {(b, t, o) for (_, b), k in m.buckets.items() for o, i in k.ids.items() for t in k.terms[i]} == {(r.bucket, r.term, r.object_id) for r in index.postings.collect()}
+    kept = {r.term for r in index.postings.where("object_id = 'o0'").collect()}
+    assert "house" in kept and not kept & {"the", "and", "they"}
+    assert ask(spark, index, BASE, "the house and the garden of my father", lang=None) == m.query("c", "b", "the house and the garden of my father", 1000)
