@@ -14,18 +14,29 @@ from . import oplog
 
 @dataclass
 class Index:
-    """``lexicon`` is what was last published; the other tables follow the log at once."""
+    """``lexicon`` is what was last published; the other tables follow the log at once.
+
+    ``words`` are those of the log, with the place of their last push: the next lexicon.
+    """
 
     postings: DataFrame
     objects: DataFrame
     lexicon: DataFrame
     term_stats: DataFrame
     bucket_stats: DataFrame
+    words: DataFrame | None = None
 
     @classmethod
-    def from_log(cls, ops: DataFrame, config: Config, *, published: int | None = None, exact: bool = False) -> Index:
-        """The index after a log.  published: the last position that the lexicon has seen (all of them, if None)."""
-        state = oplog.fold(ops, config, exact=exact)
+    def from_log(cls, ops: DataFrame, config: Config, *, published: int | None = None, exact: bool = False, earlier: Index | None = None) -> Index:
+        """The index after a log.
+
+        published: the last position that the lexicon has seen (all of them, if None).  earlier: the index before the
+        first of ops; its lexicon is what stays published, but for flushed buckets, unless published is None.
+        """
+        state = oplog.fold(ops, config, exact=exact, earlier=earlier)
+        if earlier is not None:
+            seen = oplog.lexicon(state["words"], config.store.max_words) if published is None else oplog.Earlier(earlier, oplog.valid(ops)).rest("lexicon")
+            return cls(state["postings"], state["objects"], seen, state["term_stats"], state["bucket_stats"], state["words"])
         earlier = state if published is None else oplog.fold(ops.where(F.col("seq") <= published), config, exact=exact)
         seen = earlier["words"]
         if published is not None:
@@ -33,7 +44,7 @@ class Index:
             cut = ops.where(F.col("seq") > published)
             seen = seen.join(cut.where("op = 'flushb'").select("collection", "bucket").distinct(), ["collection", "bucket"], "left_anti")
             seen = seen.join(cut.where("op = 'flushc'").select("collection").distinct(), "collection", "left_anti")
-        return cls(state["postings"], state["objects"], oplog.lexicon(seen, config.store.max_words), oplog.term_stats(state["postings"]), state["bucket_stats"])
+        return cls(state["postings"], state["objects"], oplog.lexicon(seen, config.store.max_words), oplog.term_stats(state["postings"]), state["bucket_stats"], state["words"])
 
     @classmethod
     def from_documents(cls, docs: DataFrame, config: Config, *, exact: bool = False) -> Index:
@@ -51,13 +62,10 @@ class Index:
         objects = births.select(*oplog._OBJECT, "iid")
         postings = terms.join(births.select(*oplog._OBJECT, "iid"), oplog._OBJECT).select("collection", "bucket", "term", "object_id", "iid", F.col("seq").alias("link_seq"))
         kept, _ = oplog.retain(postings, config.store.retain_word_objects)
-        words = terms.where(F.octet_length("term") <= oplog.WORD_BYTES).select("collection", "bucket", "term").distinct()
-        return cls(kept, objects, oplog.lexicon(words, config.store.max_words), oplog.term_stats(kept), births.groupBy("collection", "bucket").agg((F.max("iid") + 1).alias("n")))
+        words = terms.where(F.octet_length("term") <= oplog.WORD_BYTES).groupBy("collection", "bucket", "term").agg(F.max("seq").alias("pushed"))
+        return cls(kept, objects, oplog.lexicon(words, config.store.max_words), oplog.term_stats(kept), births.groupBy("collection", "bucket").agg((F.max("iid") + 1).alias("n")), words)
 
     def kept(self) -> Index:
         """The same, with tables that are written once to the shared folder and then read from it."""
-        postings = materialise(self.postings, "postings")
-        return Index(postings, materialise(self.objects, "objects"), materialise(self.lexicon, "lexicon"), materialise(oplog.term_stats(postings), "term-stats"), materialise(self.bucket_stats, "bucket-stats"))
-
-    def map(self, f) -> Index:
-        return Index(*(f(name, getattr(self, name)) for name in ("postings", "objects", "lexicon", "term_stats", "bucket_stats")))
+        postings, words = materialise(self.postings, "postings"), self.words and materialise(self.words, "words")
+        return Index(postings, materialise(self.objects, "objects"), materialise(self.lexicon, "lexicon"), materialise(oplog.term_stats(postings), "term-stats"), materialise(self.bucket_stats, "bucket-stats"), words)

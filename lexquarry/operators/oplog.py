@@ -8,7 +8,10 @@ computed by windows over the events of each object and term, without replaying r
 * a pop after which an object has no links removes the object; its next push is a new birth;
 * internal ids number the births of a bucket since it was last flushed, in the order of the log;
 * of a term's objects the most recently linked ``retain_word_objects`` are kept.  This is exact where objects are pushed
-  once; where an object that lost a term by retention is pushed again, the term counts as linked all along.
+  once; where an object that lost a term by retention is pushed again, the term counts as linked all along, unless a state
+  was published in between.
+
+With an earlier state only the operations since then are read, and only the objects that they name are computed anew.
 """
 
 from __future__ import annotations
@@ -60,36 +63,121 @@ def transitions(events: DataFrame) -> DataFrame:
     return events.withColumn("change", F.when((F.col("op") == "push") & (before == "pop"), 1).when((F.col("op") == "pop") & (before == "push"), -1).otherwise(0))
 
 
-def fold(ops: DataFrame, config: Config, *, exact: bool = False) -> dict[str, DataFrame]:
-    """The live tables after the log: postings, objects, words (lexicon candidates), bucket_stats."""
+class Earlier:
+    """What an earlier state (postings, objects, words, bucket_stats, term_stats) brings into a fold of the operations since.
+
+    ``touched`` are the objects that those operations name; their links enter the fold as pushes at the places where they
+    were linked, and they themselves as births with a known number.  All other rows stay as they are, but for those of
+    buckets and collections that have been flushed.
+    """
+
+    def __init__(self, state, ops: DataFrame):
+        self.state = state
+        self.touched = materialise(ops.where(F.col("op").isin("push", "pop", "flusho")).select(*_OBJECT).distinct(), "touched")
+        self._buckets = ops.where("op = 'flushb'").select(*_BUCKET).distinct()
+        self._collections = ops.where("op = 'flushc'").select("collection").distinct()
+        self._cuts = ops.where("op = 'flusho'").groupBy(*_OBJECT).agg(F.min("seq").alias("ends"))
+        self.links = self.rest("postings").join(self.touched, _OBJECT, "left_semi")
+        self.objects = self.rest("objects").join(self.touched, _OBJECT, "left_semi")
+
+    def rest(self, name: str) -> DataFrame:
+        """A table of the state without flushed buckets and collections."""
+        return getattr(self.state, name).join(self._buckets, _BUCKET, "left_anti").join(self._collections, "collection", "left_anti")
+
+    def untouched(self, name: str) -> DataFrame:
+        return self.rest(name).join(self.touched, _OBJECT, "left_anti")
+
+    def _placed(self, df: DataFrame, *more) -> DataFrame:
+        df = df.join(self._cuts, _OBJECT, "left")
+        return df.select(*_OBJECT, F.lit(0).alias("epoch"), F.col("ends").isNull().alias("live"), "ends", *more, F.lit("push").alias("op"))
+
+    def events(self) -> DataFrame:
+        return self._placed(self.links, "term", F.col("link_seq").alias("seq"))
+
+    def operations(self) -> DataFrame:
+        """A push for each object, before all others, with the number of its links."""
+        linked = self.links.groupBy(*_OBJECT).agg(F.count("*").alias("change"))
+        return self._placed(self.objects.join(linked, _OBJECT, "left").fillna(0, ["change"]), F.lit(_BEFORE).cast("long").alias("seq"), "change")
+
+
+#: Place in the log of what an earlier state brings.
+_BEFORE = -1
+
+
+def fold(ops: DataFrame, config: Config, *, exact: bool = False, earlier=None) -> dict[str, DataFrame]:
+    """The live tables after the log: postings, objects, words (lexicon candidates), bucket_stats, term_stats.
+
+    earlier: the state (an :class:`lexquarry.operators.index.Index`) before ops, whose places in the log all come after it.
+    Only what the operations name is computed; the rest of the earlier tables is passed on.
+    """
     ops = valid(ops)
     work = with_epochs(ops)
     plain = config.with_(normalization={"unicode_normalization": None}) if not exact else config
     pushes = tokens(work.where("op = 'push'"), config, exact=exact)
     pops = tokens(work.where("op = 'pop'").withColumn("lang", F.lit("none")), plain, cleanup=False, exact=exact)
     keys = [*_OBJECT, "epoch", "live", "ends", "seq", "op"]
+    found = distinct_terms(pushes.unionByName(pops), keys).select(*keys, "term", F.lit(False).alias("old"))
+    e = Earlier(earlier, ops) if earlier is not None else None
+    if e:
+        found = found.unionByName(e.events().withColumn("old", F.lit(True)))
     # everything below reads the events several times: they are computed once
-    events = materialise(transitions(distinct_terms(pushes.unionByName(pops), keys)), "events")
+    events = materialise(transitions(found), "events")
     # operations with what they changed; those without terms count as births too
     ops_seen = work.select(*keys).join(events.groupBy(*_OBJECT, "epoch", "seq", "op").agg(F.sum("change").alias("change")), [*_OBJECT, "epoch", "seq", "op"], "left").fillna(0, ["change"])
+    if e:
+        ops_seen = ops_seen.unionByName(e.operations())
     run = Window.partitionBy(*_OBJECT, "epoch").orderBy("seq")
     counted = ops_seen.withColumn("linked", F.sum("change").over(run.rowsBetween(Window.unboundedPreceding, 0)))
     emptied = counted.withColumn("emptied", (F.col("op") == "pop") & (F.col("change") < 0) & (F.col("linked") == 0))
     lives = emptied.withColumn("life", F.coalesce(F.sum(F.col("emptied").cast("int")).over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     born = lives.where("op = 'push'").groupBy(*_OBJECT, "epoch", "life").agg(F.min("seq").alias("birth"))
-    births = number_births(born)
+    births = number_births(born.where(F.col("birth") > _BEFORE))
+    sizes = births.groupBy(*_BUCKET).agg(F.count("*").alias("n"))
+    if e:
+        before = e.rest("bucket_stats")
+        births = births.join(before, _BUCKET, "left").withColumn("iid", F.col("iid") + F.coalesce("n", F.lit(0))).drop("n")
+        births = births.unionByName(born.where(F.col("birth") == _BEFORE).join(e.objects, _OBJECT))
+        sizes = before.unionByName(sizes).groupBy(*_BUCKET).agg(F.sum("n").alias("n"))
     last = lives.groupBy(*_OBJECT, "epoch").agg(F.max("live").alias("live"), F.max_by("emptied", "seq").alias("gone"), F.max("life").alias("life"))
     objects = births.join(last, [*_OBJECT, "epoch", "life"]).where("live and not gone").select(*_OBJECT, "iid")
     by_term = events.groupBy(*_OBJECT, "epoch", "live", "term").agg(F.sum("change").alias("linked"), F.max(F.when(F.col("change") == 1, F.col("seq"))).alias("link_seq"))
     postings = by_term.where("live and linked = 1").join(objects, _OBJECT).select(*_BUCKET, "term", "object_id", "iid", "link_seq")
-    kept, lost = retain(postings, config.store.retain_word_objects)
+    most = config.store.retain_word_objects
+    if e:
+        return _joined(e, materialise(postings, "links"), materialise(objects, "births"), words(events, e), sizes, most)
+    kept, lost = retain(postings, most)
+    return {"postings": kept, "objects": _left(objects, kept, lost), "words": words(events), "bucket_stats": sizes, "term_stats": None}
+
+
+def _left(objects: DataFrame, kept: DataFrame, lost: DataFrame) -> DataFrame:
+    """objects without those that retention has taken the last term from."""
     gone = lost.select(*_OBJECT).distinct().join(kept.select(*_OBJECT).distinct(), _OBJECT, "left_anti")
-    return {
-        "postings": kept,
-        "objects": objects.join(gone, _OBJECT, "left_anti"),
-        "words": words(events, config),
-        "bucket_stats": births.groupBy(*_BUCKET).agg((F.max("iid") + 1).alias("n")),
-    }
+    return objects.join(gone, _OBJECT, "left_anti")
+
+
+def _joined(e: Earlier, postings: DataFrame, objects: DataFrame, words: DataFrame, sizes: DataFrame, most: int) -> dict[str, DataFrame]:
+    """The tables of the touched objects put together with the rest of the earlier ones."""
+    term = [*_BUCKET, "term"]
+    change = lambda df, n: df.groupBy(*term).agg((F.count("*") * n).alias("df"))
+    # what the operations changed is small; the earlier counts are only looked up
+    delta = materialise(change(postings, 1).unionByName(change(e.links, -1)).groupBy(*term).agg(F.sum("df").alias("more")).where("more <> 0"), "counts")
+
+    def counted(delta: DataFrame) -> DataFrame:
+        stats = e.rest("term_stats")
+        known = stats.join(delta, term, "left").select(*term, (F.col("df") + F.coalesce("more", F.lit(0))).alias("df")).where("df > 0")
+        return known.unionByName(delta.join(stats, term, "left_anti").select(*term, F.col("more").alias("df")))
+
+    every, all_objects, stats = e.untouched("postings").unionByName(postings), e.untouched("objects").unionByName(objects), counted(delta)
+    over = materialise(stats.where(F.col("df") > most).join(delta.where("more > 0"), term, "left_semi").select(*term), "over")
+    if not over.isEmpty():
+        _, lost = retain(every.join(over, term, "left_semi"), most)
+        lost = materialise(lost.select(*term, "object_id"), "lost")
+        every = every.join(lost, [*term, "object_id"], "left_anti")
+        hit = every.join(lost.select(*_OBJECT).distinct(), _OBJECT, "left_semi")
+        all_objects = _left(all_objects, hit, lost)
+        delta = delta.unionByName(change(lost, -1).withColumnRenamed("df", "more")).groupBy(*term).agg(F.sum("more").alias("more"))
+        stats = counted(delta)
+    return {"postings": every, "objects": all_objects, "words": words, "bucket_stats": sizes, "term_stats": stats}
 
 
 def number_births(born: DataFrame) -> DataFrame:
@@ -120,22 +208,35 @@ def retain(postings: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     return top, full.join(top.select(*term, "object_id"), [*term, "object_id"], "left_anti")
 
 
-def words(events: DataFrame, config: Config) -> DataFrame:
+def words(events: DataFrame, earlier: Earlier | None = None) -> DataFrame:
     """Words that pushes brought and no later pop took: a pop takes a word with its last object, if that keeps other words.
 
-    Flushing an object leaves its words; an object that a pop empties leaves them too.
+    Flushing an object leaves its words; an object that a pop empties leaves them too.  Only the events of words that a
+    pop has unlinked are put in order, word by word.
     """
+    term = [*_BUCKET, "term"]
     by_object = Window.partitionBy(*_OBJECT, "epoch").orderBy("seq").rangeBetween(Window.unboundedPreceding, 0)
-    by_term = Window.partitionBy(*_BUCKET, "term").orderBy("seq").rangeBetween(Window.unboundedPreceding, 0)
+    by_term = Window.partitionBy(*term).orderBy("seq").rangeBetween(Window.unboundedPreceding, 0)
     # a flushed object's links end at the flush
     ended = events.where("ends is not null").groupBy(*_OBJECT, "epoch", "term", "ends").agg(F.sum("change").alias("linked")).where("linked = 1")
     ended = ended.select(*_OBJECT, "epoch", "term", F.col("ends").alias("seq"), F.lit("flusho").alias("op"), F.lit(-1).alias("change"))
     state = events.select(ended.columns).unionByName(ended)
-    state = state.withColumn("left", F.sum("change").over(by_object)).withColumn("objects", F.sum("change").over(by_term))
-    taken = state.where("op = 'pop' and change = -1 and left > 0 and objects = 0").groupBy(*_BUCKET, "term").agg(F.max("seq").alias("taken"))
-    pushed = events.where("op = 'push'").groupBy(*_BUCKET, "term").agg(F.max("seq").alias("pushed"))
-    held = pushed.join(taken, [*_BUCKET, "term"], "left").where("taken is null or pushed > taken")
-    return held.where(F.octet_length("term") <= WORD_BYTES).select(*_BUCKET, "term", "pushed")
+    # objects without a pop take no words: only the others' terms are counted
+    popping = events.where("op = 'pop' and change = -1").select(*_OBJECT).distinct()
+    left = state.join(popping, _OBJECT, "left_semi").withColumn("left", F.sum("change").over(by_object)).where("op = 'pop' and change = -1").select(*_OBJECT, "epoch", "term", "seq", "left")
+    popped = events.where("op = 'pop' and change = -1").select(*term).distinct()
+    moves = state.join(popped, term, "left_semi").groupBy(*term, "seq").agg(F.sum("change").alias("change"))
+    if earlier is not None:
+        # links of objects that no operation names
+        held = earlier.rest("term_stats").join(popped, term, "left_semi").select(*term, "df")
+        own = earlier.links.join(popped, term, "left_semi").groupBy(*term).agg(F.count("*").alias("own"))
+        moves = moves.unionByName(held.join(own, term, "left").select(*term, F.lit(_BEFORE - 1).cast("long").alias("seq"), (F.col("df") - F.coalesce("own", F.lit(0))).alias("change")))
+    at = moves.withColumn("objects", F.sum("change").over(by_term)).where("objects = 0").select(*term, "seq")
+    taken = left.where("left > 0").join(at, [*term, "seq"]).groupBy(*term).agg(F.max("seq").alias("taken"))
+    pushed = events.where("op = 'push' and not old").groupBy(*term).agg(F.max("seq").alias("pushed")).where(F.octet_length("term") <= WORD_BYTES)
+    if earlier is not None:
+        pushed = earlier.rest("words").unionByName(pushed).groupBy(*term).agg(F.max("pushed").alias("pushed"))
+    return pushed.join(taken, term, "left").where("taken is null or pushed > taken").select(*term, "pushed")
 
 
 def lexicon(words: DataFrame, most: int) -> DataFrame:

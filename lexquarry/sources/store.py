@@ -11,9 +11,10 @@ from ..schema import LEXICON, OPLOG
 
 
 class Store:
-    """A folder (any that Spark can reach) with ``log/batch=<n>`` and ``version=<n>/<table>``.
+    """A folder (any that Spark can reach) with ``log/writer=<id>/batch=<n>`` and ``version=<n>/<table>``.
 
-    A log batch has its number in its path, so writing a batch again replaces it and nothing counts twice.  Versions are
+    A log batch has its writer and number in its path, so a writer that writes a batch again replaces it, nothing counts
+    twice, and writers can't replace each other's batches.  Versions are
     written beside each other and named by a marker that is written last; readers use the newest that has one.
     """
 
@@ -22,12 +23,12 @@ class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def append(self, ops: DataFrame, batch: int) -> None:
-        ops.select(*[c.split()[0] for c in OPLOG.split(", ")]).write.mode("overwrite").parquet(f"{self.path}/log/batch={batch}")
+    def append(self, ops: DataFrame, batch: int, writer: str = "bulk") -> None:
+        ops.select(*[c.split()[0] for c in OPLOG.split(", ")]).write.mode("overwrite").parquet(f"{self.path}/log/writer={writer}/batch={batch}")
 
     def log(self) -> DataFrame:
         try:
-            return self.spark.read.schema(OPLOG + ", batch long").option("basePath", f"{self.path}/log").parquet(f"{self.path}/log").drop("batch")
+            return self.spark.read.schema(OPLOG + ", writer string, batch long").option("basePath", f"{self.path}/log").parquet(f"{self.path}/log").drop("writer", "batch")
         except AnalysisException:  # nothing written yet
             return self.spark.createDataFrame([], OPLOG)
 

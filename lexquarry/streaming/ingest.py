@@ -1,12 +1,14 @@
 """Streaming ingest: micro-batches of operations go to the log; the index is published as a separate step.
 
-A batch is written under its number, so a batch that is run again after a failure replaces itself.  Until the next
+A batch is written under the stream's id and its number, so a batch that is run again after a failure replaces itself, and
+no other stream's.  Until the next
 publication, exact matches on the log are possible, completions are not: the lexicon is what was last published.
 """
 
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..config import Config
 from ..operators.index import Index
 from ..schema import OPLOG
+from ..sources.scratch import shared_dir
 from ..sources.store import Store
 
 
@@ -26,7 +29,8 @@ def ingest(stream: DataFrame, store: Store, *, checkpoint: str, config: Config,
     due: list[float] = []
 
     def write(batch: DataFrame, number: int) -> None:
-        store.append(batch, number)
+        # the id stays with the checkpoint; a stream that starts anew has another, and can't replace batches
+        store.append(batch, number, batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "stream")
         now = clock()
         due.append(now) if not due else None
         if publish and now - due[0] >= config.store.consolidate_after:
@@ -45,11 +49,7 @@ def consolidate(store: Store, config: Config) -> int:
 
 def replay(spark: SparkSession, ops: DataFrame, config: Config) -> DataFrame:
     """Documents written as files, streamed in micro-batches into a store, published, counted by object."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexquarry-")
-    root = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     ops.repartition(4, "seq").write.parquet(f"{root}/in")
     stream = spark.readStream.schema(OPLOG).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
     store = Store(spark, f"{root}/store")

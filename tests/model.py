@@ -45,8 +45,12 @@ class Model:
         for _, term, _ in self.lex(text, lang):
             if term not in k.terms[iid]:
                 k.links[term].insert(0, iid)
-                del k.links[term][self.config.store.retain_word_objects :]
                 k.terms[iid].append(term)
+                for lost in k.links[term][self.config.store.retain_word_objects :]:
+                    k.links[term].remove(lost)
+                    k.terms[lost].remove(term)
+                    if not k.terms[lost]:  # an object without terms goes
+                        k.ids = {x: i for x, i in k.ids.items() if i != lost}
             if len(term.encode()) <= 40:
                 k.words.add(term)
 

@@ -237,3 +237,31 @@ def test_languages_are_guessed_on_push_and_query(spark):
     kept = {r.term for r in index.postings.where("object_id = 'o0'").collect()}
     assert "house" in kept and not kept & {"the", "and", "they"}
     assert ask(spark, index, BASE, "the house and the garden of my father", lang=None) == m.query("c", "b", "the house and the garden of my father", 1000)
+
+
+def tables_of(index):
+    plain = lambda df, *cols: sorted(tuple(r) for r in df.select(*cols).collect())
+    return [plain(index.postings, "bucket", "term", "object_id", "iid", "link_seq"), plain(index.objects, "bucket", "object_id", "iid"), plain(index.lexicon, "bucket", "term"), plain(index.term_stats, "bucket", "term", "df"), plain(index.bucket_stats, "bucket", "n")]
+
+
+@pytest.mark.parametrize("seed,cuts", [(21, (40, 100)), (22, (150,)), (23, (10, 11, 90))])
+def test_states_carried_on_equal_one_fold(spark, seed, cuts):
+    ops, _ = random_log(seed)
+    rows = [(i, *op) for i, op in enumerate(ops)]
+    index = None
+    for a, b in zip((0, *cuts), (*cuts, len(rows))):
+        index = Index.from_log(spark.createDataFrame(rows[a:b], OPLOG), BASE, earlier=index).kept()
+    assert tables_of(index) == tables_of(run_log(spark, ops, BASE))
+
+
+def test_retention_over_states_equals_the_model(spark):
+    """An object that lost a term before a state was published is linked again; one that still has it is not moved."""
+    config = BASE.with_(store={"retain_word_objects": 3})
+    ops = [push(f"o{i}", f"word w{i}" if i else "word") for i in range(9)] + [push("o0", "word"), push("o7", "word"), push("o6", "word")]
+    m, rows, index = play(ops, config), [(i, *op) for i, op in enumerate(ops)], None
+    for a, b in ((0, 9), (9, 11), (11, 12)):
+        index = Index.from_log(spark.createDataFrame(rows[a:b], OPLOG), config, earlier=index).kept()
+    k = m.buckets["c", "b"]
+    names = {i: o for o, i in k.ids.items()}
+    assert {(t, names[i]) for t, ids in k.links.items() for i in ids} == {(r.term, r.object_id) for r in index.postings.collect()}
+    assert k.ids == {r.object_id: r.iid for r in index.objects.collect()}
