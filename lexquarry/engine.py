@@ -7,6 +7,7 @@ follow the log at once; completions, listings and counts of words follow :meth:`
 from __future__ import annotations
 
 import time
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,18 +47,19 @@ class Engine:
         self.stats = Statistics()
         self._live: tuple[int, Index] | None = None
         self._tables: list[str] = []
-        last = self.store.log().agg(F.max("seq"), F.count("*")).head()
-        self._seq = -1 if last[0] is None else last[0]
-        self._batch = int(time.time() * 1000)
-        # the lexicon's last position is kept beside the versions
-        self._published = self._marker()
+        last, found = self.store.log().agg(F.max("seq")).head()[0], self.store.state()
+        self._seq = max(-1 if last is None else last, found["seq"] if found else -1)
+        #: This engine's batches in the log; single operations get the places after the last one it knows.
+        self._writer, self._batch = uuid.uuid4().hex, 0
+        #: Set by :meth:`shutdown`; sessions then take no more commands.
+        self.closing = False
 
     # -- writing ----------------------------------------------------------------------------------------------------
 
     def append(self, ops: DataFrame) -> None:
         """Log operations given with their seq (the log's columns)."""
         self._batch += 1
-        self.store.append(ops, self._batch)
+        self.store.append(ops, self._batch, self._writer)
         top = ops.agg(F.max("seq")).head()[0]
         self._seq = max(self._seq, -1 if top is None else top)
         self._live = None
@@ -73,8 +75,9 @@ class Engine:
     def pop(self, collection: str, bucket: str, object_id: str, text: str) -> int:
         """How many terms were unlinked."""
         seq = self._one("pop", ItemRef(collection, bucket, object_id), text)
-        log = self.store.log().where((F.col("collection") == collection) & (F.col("object_id").isNull() | (F.col("object_id") == object_id)) & (F.col("bucket").isNull() | (F.col("bucket") == bucket)))
-        found = popped_counts(log, self.config).where(F.col("seq") == seq).head()
+        ops, earlier = self.store.since()
+        mine = ops.where((F.col("collection") == collection) & (F.col("object_id").isNull() | (F.col("object_id") == object_id)) & (F.col("bucket").isNull() | (F.col("bucket") == bucket)))
+        found = popped_counts(mine, self.config, earlier=earlier).where(F.col("seq") == seq).head()
         return found["popped"] if found else 0
 
     def flush(self, collection: str, bucket: str | None = None, object_id: str | None = None) -> int:
@@ -93,8 +96,11 @@ class Engine:
         if self._live is None or self._live[0] != self._seq:
             scratch.forget(self._tables)
             before = scratch.written()
-            self._live = (self._seq, Index.from_log(self.store.log(), self.config, published=self._published, exact=self.exact).kept())
-            self._tables = scratch.written_since(before)
+            with scratch.tidy() as keep:
+                index = self.store.current(self.config, exact=self.exact).kept()
+                for name in Store.TABLES:
+                    keep(getattr(index, name))
+            self._live, self._tables = (self._seq, index), scratch.written_since(before)
         return self._live[1]
 
     def _limit(self, kind: str, limit: int | None) -> int:
@@ -141,36 +147,43 @@ class Engine:
 
     # -- upkeep -----------------------------------------------------------------------------------------------------
 
-    def _marker(self) -> int:
-        try:
-            return self.spark.read.schema("seq long").parquet(f"{self.store.path}/consolidated").agg(F.max("seq")).head()[0]
-        except Exception as e:  # noqa: BLE001  nothing consolidated yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return -1
-
     def consolidate(self) -> None:
         """Publish the words of the log so far."""
-        self._published, self._live = self._seq, None
-        self.spark.createDataFrame([(self._seq,)], "seq long").coalesce(1).write.mode("append").parquet(f"{self.store.path}/consolidated")
+        self.store.consolidate(self.config, self._index(), exact=self.exact)
+        self._live = None
 
     def publish(self) -> int:
-        """Write the index as a new version of the store's tables, for other sessions to read."""
-        version = (self.store.version() or 0) + 1
-        self.store.publish(self._index(), version)
+        """Write the index as a new version of the store's tables, from which reads then go on; the log stays."""
+        return self.store.compact(self.config, exact=self.exact, drop=False)
+
+    def compact(self) -> int:
+        """The same, and delete the log's batches that are in the version."""
+        version, self._live = self.store.compact(self.config, exact=self.exact), None
         return version
 
     def backup(self, path: str) -> None:
         backup(self._index(), path)
 
     def restore(self, path: str) -> Index:
-        """The index of a backup; it serves reads until the next write."""
-        self._live = (self._seq, restore(self.spark, path))
-        return self._live[1]
+        """The index of a backup becomes the store's newest version, in place of all that was logged so far."""
+        batches, index = self.store.batches(), restore(self.spark, path)
+        top = index.postings.agg(F.max("link_seq")).head()[0]
+        self._seq = max(self._seq, -1 if top is None else top)  # what comes next comes after all that the backup has seen
+        self.store.publish(index, (self.store.version() or 0) + 1, seq=self._seq, batches=batches)
+        self._live = None
+        return self._index()
+
+    def shutdown(self) -> None:
+        """Take no more commands, publish the words, and write the state."""
+        self.closing = True
+        self.consolidate()
+        self.publish()
 
     def info(self) -> dict[str, int]:
         index = self._index()
-        pending = self.store.log().where(F.col("seq") > self._published).select("collection", "bucket").distinct().count()
+        found = self.store.state()
+        pending = self.store.log().where(F.col("seq") > (found["upto"] if found else -1)).select("collection", "bucket").distinct().count()
+        # fixed values: the names of the figures
         return {
             "uptime": int(time.time() - self.stats.started),
             "clients_connected": 1,

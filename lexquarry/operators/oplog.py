@@ -251,17 +251,19 @@ def lexicon(words: DataFrame, most: int) -> DataFrame:
     return small.select(*_BUCKET, "term").unionByName(ranked.select(*_BUCKET, "term"))
 
 
-def popped_counts(ops: DataFrame, config: Config) -> DataFrame:
-    """seq and popped (number of terms unlinked) of every pop."""
-    work = with_epochs(valid(ops))
+def popped_counts(ops: DataFrame, config: Config, *, earlier=None) -> DataFrame:
+    """seq and popped (number of terms unlinked) of every pop.  earlier: the state before ops, as for :func:`fold`."""
+    ops = valid(ops)
+    work = with_epochs(ops)
     pushes = tokens(work.where("op = 'push'"), config)
     pops = tokens(work.where("op = 'pop'").withColumn("lang", F.lit("none")), config, cleanup=False)
-    events = transitions(distinct_terms(pushes.unionByName(pops), [*_OBJECT, "epoch", "live", "ends", "seq", "op"]))
-    done = events.where("op = 'pop'").groupBy("seq").agg((-F.sum("change")).alias("popped"))
+    keys = [*_OBJECT, "epoch", "live", "ends", "seq", "op"]
+    found = distinct_terms(pushes.unionByName(pops), keys).select(*keys, "term")
+    if earlier is not None:
+        found = found.unionByName(Earlier(earlier, ops).events())
+    done = transitions(found).where("op = 'pop'").groupBy("seq").agg((-F.sum("change")).alias("popped"))
     return work.where("op = 'pop'").select("seq").join(done, "seq", "left").select("seq", F.coalesce("popped", F.lit(0)).cast("long").alias("popped"))
 
 
 def term_stats(postings: DataFrame) -> DataFrame:
     return postings.groupBy(*_BUCKET, "term").agg(F.count("*").alias("df"))
-
-

@@ -5,6 +5,9 @@ term and words within its typo limit, in a fixed order and up to a budget of pos
 merged, summed over the terms and divided by their number; ties go to what was found first, that is to recent documents.
 Internal ids become object ids only for the page that is returned.
 
+Steps that only some queries need (the retention limit, words with typos) are left out of the plan where a look at the
+small tables of query terms shows that no query needs them; so planning runs a few short jobs.
+
 A query that reaches the retention limit inside its alternates keeps taking alternates up to its budget.
 """
 
@@ -17,10 +20,19 @@ from ..config import Config
 from ..functions.langs import stays_in_script
 from ..functions.lexer import distinct_terms, tokens
 from ..functions.scoring import idf_weight, prefix_score, typo_factor, typo_score
+from ..sources.scratch import materialise
 from .index import Index
 
 #: Characters of the keys by which prefixes are joined.
-PREFIX_KEY = 8
+PREFIX_KEY = 4
+#: Query words of a batch (some 100 bytes each) up to which they are broadcast; above, postings and words are shuffled.
+BROADCAST_WORDS = 200_000
+#: Bits of a place in the log; the words of a query are numbered above them.
+PLACE_BITS = 43
+#: Alternates are numbered from here, after any exact word.
+AFTER_EXACT = 1 << 19
+#: Scores are added as whole numbers of this many parts, so that sums do not hang on their order.
+PARTS = 1 << 40
 _BUCKET = ["collection", "bucket"]
 
 
@@ -40,26 +52,41 @@ def _gate(n: Column, df: Column, config: Config) -> Column:
     return (n < s.query_minimum_term_idf_minimum_object_count) | (F.log(n / df) >= s.query_minimum_term_idf)
 
 
-def exact_rows(terms: DataFrame, index: Index, config: Config) -> DataFrame:
-    """qid, idx, iid, score, key of the postings of the queries' own terms."""
+def weighed(terms: DataFrame, index: Index, config: Config) -> DataFrame:
+    """qid, collection, bucket, idx, term, form, score, found: the words whose postings are read, and how many these are.
+
+    Terms too frequent to count are left out; a term's score is that of its own postings, whatever form is found.
+    """
     q = terms.join(index.term_stats, [*_BUCKET, "term"], "left").join(index.bucket_stats, _BUCKET).withColumn("df", F.coalesce("df", F.lit(0)))
     q = q.where((F.col("df") == 0) | _gate(F.col("n"), F.col("df"), config)).withColumn("score", idf_weight(F.col("n"), F.col("df")))
-    if config.search.match_normal_forms and config.normalization.unicode_normalization is None:
-        from ..functions.exact import normal_forms_udf
+    columns = ["qid", *_BUCKET, "idx", "term", "form", "score", "found"]
+    own = q.withColumn("form", F.lit(0)).withColumnRenamed("df", "found").where("found > 0").select(columns)
+    if not config.search.match_normal_forms or config.normalization.unicode_normalization is not None:
+        return own
+    from ..functions.exact import normal_forms_udf
+
+    odd = q.where(~F.col("special") & F.col("term").rlike(r"[^\x00-\x7F]"))
+    forms = odd.select("*", F.posexplode(normal_forms_udf()(F.col("term"))).alias("form", "word")).where("form > 0").drop("term").withColumnRenamed("word", "term")
+    found = index.term_stats.withColumnRenamed("df", "found")
+    return own.unionByName(forms.join(found, [*_BUCKET, "term"]).select(columns))
+
+
+def exact_rows(words: DataFrame, index: Index) -> DataFrame:
+    """qid, idx, iid, score, key of the postings of the :func:`weighed` words."""
+    ranked = words.withColumn("nth", F.row_number().over(Window.partitionBy("qid").orderBy("idx", "form", "term")))
+    found = F.broadcast(ranked) if _small(words) else ranked
+    rows = index.postings.join(found, [*_BUCKET, "term"])
+    return rows.select("qid", "idx", "iid", "score", order_key(F.col("nth"), F.col("link_seq")))
+
 
-        odd = ~F.col("special") & F.col("term").rlike(r"[^\x00-\x7F]")
-        own = q.where(~odd).withColumn("form", F.lit(0)).withColumn("word", F.col("term"))
-        forms = q.where(odd).select("*", F.posexplode(normal_forms_udf()(F.col("term"))).alias("form", "word"))
-        q = own.unionByName(forms.select(own.columns))
-    else:
-        q = q.withColumn("form", F.lit(0)).withColumn("word", F.col("term"))
-    found = q.drop("term", "df").withColumnRenamed("word", "term").join(index.postings, [*_BUCKET, "term"])
-    return found.select("qid", *_BUCKET, "idx", "iid", "score", order_key(F.lit(0), F.col("idx"), F.lit(0), F.col("form").cast("string"), F.col("link_seq")))
+def _small(words: DataFrame) -> bool:
+    """Whether a batch's words are few enough to be sent to all executors; the count is that of a table that lies written."""
+    return words.count() <= BROADCAST_WORDS
 
 
-def order_key(phase: Column, idx: Column, factor: Column, word: Column, seq: Column) -> Column:
-    """When a posting is looked at: a struct that sorts in that order."""
-    return F.struct(phase.cast("int").alias("phase"), idx.cast("int").alias("idx"), factor.cast("int").alias("factor"), word.alias("word"), (-seq).alias("age")).alias("key")
+def order_key(nth: Column, seq: Column) -> Column:
+    """When a posting is looked at, as one number that sorts so: the nth word of its query, then the most recent links."""
+    return (F.shiftleft(nth.cast("long"), PLACE_BITS) + (F.lit((1 << PLACE_BITS) - 1) - F.least(seq, F.lit((1 << PLACE_BITS) - 1)))).alias("key")
 
 
 def capped(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
@@ -112,46 +139,58 @@ def typo_candidates(terms: DataFrame, lexicon: DataFrame) -> DataFrame:
     return found.where(F.col("distance") <= F.col("most"))
 
 
+def _first_words(words: DataFrame, index: Index, config: Config) -> DataFrame:
+    """The words (qid, idx, word, phase, factor, base) that a query's budget can reach, with df and score: as many as it has
+    units, since each posting costs one."""
+    stats = index.term_stats.withColumnRenamed("term", "word")
+    every = words.join(stats, [*_BUCKET, "word"]).join(index.bucket_stats, _BUCKET).where(_gate(F.col("n"), F.col("df"), config))
+    every = every.withColumn("score", F.col("base") * idf_weight(F.col("n"), F.col("df"))).select("qid", *_BUCKET, "idx", "word", "phase", "factor", "df", "score")
+    r = F.row_number().over(Window.partitionBy("qid").orderBy("phase", "idx", "factor", "word"))
+    return every.withColumn("r", r).where(F.col("r") <= config.search.query_alternates_try).drop("r")
+
+
 def alternates(terms: DataFrame, index: Index, config: Config) -> DataFrame:
-    """qid, idx, iid, score, key of the alternates' postings within each query's budget."""
+    """qid, idx, iid, score, key of the alternates' postings within each query's budget.
+
+    Words with typos come after those that go on a term: they are looked for only for queries that have budget left.
+    """
     s, parts = config.search, []
     length = F.col("bytes").cast("double")
     if s.prefix_matching_enabled:
         p = prefix_candidates(terms, index.lexicon)
         far = F.abs(F.col("bytes") - F.octet_length("word"))
-        parts.append(p.select("qid", *_BUCKET, "idx", "term", "word", F.lit(1).alias("phase"), F.lit(0).alias("factor"), prefix_score(far, length).alias("base")))
-    if s.fuzzy_matching_enabled:
-        t = typo_candidates(terms.where("not special").withColumn("most", typo_factor(F.col("bytes"))), index.lexicon)
+        p = p.select("qid", *_BUCKET, "idx", "word", F.lit(1).alias("phase"), F.lit(0).alias("factor"), prefix_score(far, length).alias("base"))
+        parts.append(materialise(_first_words(p, index, config), "prefixes"))
+        spent = parts[0].groupBy("qid").agg(F.sum("df").alias("spent")).where(F.col("spent") >= s.query_alternates_try)
+        terms = terms.join(spent, "qid", "left_anti")
+    able = terms.where("not special").withColumn("most", typo_factor(F.col("bytes"))).where("most > 0")
+    if s.fuzzy_matching_enabled and not (able := materialise(able, "typo-terms")).isEmpty():
+        t = typo_candidates(able, index.lexicon)
         t = t.where("word <> term").select("*", F.explode(F.sequence(F.greatest(F.lit(1), F.col("distance")), F.col("most"))).alias("factor"))
-        parts.append(t.select("qid", *_BUCKET, "idx", "term", "word", F.lit(2).alias("phase"), "factor", typo_score(F.col("factor"), length).alias("base")))
-    if not parts:
-        parts = [terms.where("false").select("qid", *_BUCKET, "idx", "term", F.col("term").alias("word"), F.lit(1).alias("phase"), F.lit(0).alias("factor"), F.lit(0.0).alias("base"))]
+        t = t.select("qid", *_BUCKET, "idx", "word", F.lit(2).alias("phase"), "factor", typo_score(F.col("factor"), length).alias("base"))
+        parts.append(_first_words(t, index, config))
     every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    stats = index.term_stats.withColumnRenamed("term", "word")
-    every = every.join(stats, [*_BUCKET, "word"]).join(index.bucket_stats, _BUCKET).where(_gate(F.col("n"), F.col("df"), config))
-    every = every.withColumn("score", F.col("base") * idf_weight(F.col("n"), F.col("df")))
     # each posting costs one unit; words beyond the budget are cut before their postings are read
     order = Window.partitionBy("qid").orderBy("phase", "idx", "factor", "word")
-    ranked = every.withColumn("r", F.row_number().over(order)).where(F.col("r") <= s.query_alternates_try)
     spent = F.coalesce(F.sum("df").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = ranked.withColumn("spent", spent).where(F.col("spent") < s.query_alternates_try)
-    rows = within.select("qid", *_BUCKET, "idx", F.col("word").alias("term"), "phase", "factor", "score", "spent").join(index.postings, [*_BUCKET, "term"])
-    rows = rows.select("qid", *_BUCKET, "idx", "iid", "score", order_key(F.col("phase"), F.col("idx"), F.col("factor"), F.col("term"), F.col("link_seq")))
+    within = every.withColumn("spent", spent).withColumn("nth", F.row_number().over(order) + AFTER_EXACT).where(F.col("spent") < s.query_alternates_try)
+    rows = index.postings.join(within.select("qid", *_BUCKET, "idx", F.col("word").alias("term"), "nth", "score"), [*_BUCKET, "term"])
+    rows = rows.select("qid", "idx", "iid", "score", order_key(F.col("nth"), F.col("link_seq")))
     taken = rows.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("key"))).where(F.col("r") <= s.query_alternates_try)
     return taken.drop("r")
 
 
-def rank(rows: DataFrame, terms: DataFrame, config: Config) -> DataFrame:
-    """qid, iid, score, place: documents in their order."""
+def rank(rows: DataFrame, terms: DataFrame, config: Config, most: int | None = None) -> DataFrame:
+    """qid, collection, bucket, iid, score, place: documents in their order.  most: places that anyone will look at."""
     merge = F.min if config.search.merge == "min" else F.max
-    cells = rows.groupBy("qid", *_BUCKET, "iid", "idx").agg(merge("score").alias("score"), F.min("key").alias("key"))
-    facts = terms.groupBy("qid").agg(F.max("n_terms").alias("n_terms"), F.max("special").alias("any_special"))
-    # the terms' scores are added in their order, so that equal documents have equal sums
-    ordered = F.aggregate(F.transform(F.sort_array(F.collect_list(F.struct("idx", "score"))), lambda x: x["score"]), F.lit(0.0), lambda a, x: a + x)
-    docs = cells.groupBy("qid", *_BUCKET, "iid").agg(ordered.alias("total"), F.count("*").alias("cells"), F.min("key").alias("key")).join(facts, "qid")
-    docs = docs.where("not any_special or cells = n_terms").withColumn("score", F.col("total") / F.col("n_terms"))
+    # dealt out once for both steps: few cells have more than one row
+    cells = rows.repartition("qid", "iid").groupBy("qid", "iid", "idx").agg(merge("score").alias("score"), F.min("key").alias("key"))
+    facts = terms.groupBy("qid", *_BUCKET).agg(F.max("n_terms").alias("n_terms"), F.max("special").alias("any_special"))
+    docs = cells.groupBy("qid", "iid").agg(F.sum(F.round(F.col("score") * PARTS).cast("long")).alias("total"), F.count("*").alias("cells"), F.min("key").alias("key")).join(facts, "qid")
+    docs = docs.where("not any_special or cells = n_terms").withColumn("score", F.col("total") / PARTS / F.col("n_terms"))
     order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "key")
-    return docs.withColumn("place", F.row_number().over(order)).select("qid", *_BUCKET, "iid", "score", "place")
+    ranked = docs.withColumn("place", F.row_number().over(order))
+    return (ranked if most is None else ranked.where(F.col("place") <= most)).select("qid", *_BUCKET, "iid", "score", "place")
 
 
 def search(queries: DataFrame, index: Index, config: Config, *, exact: bool = False) -> DataFrame:
@@ -159,13 +198,20 @@ def search(queries: DataFrame, index: Index, config: Config, *, exact: bool = Fa
 
     A null limit is the default, a null offset 0.  Queries without terms after the clean-up have no rows.
     """
-    terms = query_terms(queries, config, exact=exact)
-    found, counts = capped(exact_rows(terms, index, config), config.store.retain_word_objects)
-    rows = found
-    if config.search.query_alternates_try > 0 and (config.search.prefix_matching_enabled or config.search.fuzzy_matching_enabled):
-        full = counts.where(F.col("docs") >= config.store.retain_word_objects).select("qid")
-        rows = rows.unionByName(alternates(terms.join(full, "qid", "left_anti"), index, config))
-    return page(rank(rows, terms, config), queries, index, config)
+    most, s = config.store.retain_word_objects, config.search
+    terms = materialise(query_terms(queries, config, exact=exact), "query-terms")
+    words = materialise(weighed(terms, index, config), "query-words")
+    # a query's documents are no more than its postings: only those with many can meet the retention limit
+    many = words.groupBy("qid").agg(F.sum("found").alias("found")).where(F.col("found") >= most).select("qid")
+    rows, open_terms = exact_rows(words, index), terms
+    if not many.isEmpty():
+        cut, counts = capped(exact_rows(words.join(many, "qid", "left_semi"), index), most)
+        rows = exact_rows(words.join(many, "qid", "left_anti"), index).unionByName(cut)
+        open_terms = terms.join(counts.where(F.col("docs") >= most).select("qid"), "qid", "left_anti")
+    if s.query_alternates_try > 0 and (s.prefix_matching_enabled or s.fuzzy_matching_enabled):
+        rows = rows.unionByName(alternates(open_terms, index, config))
+    last = queries.agg(F.max(F.coalesce(F.col("limit").cast("long"), F.lit(s.query_limit_default)) + F.coalesce(F.col("offset").cast("long"), F.lit(0)))).head()[0]
+    return page(rank(rows, terms, config, min(last or 0, (1 << 31) - 1)), queries, index, config)
 
 
 def page(ranked: DataFrame, queries: DataFrame, index: Index, config: Config) -> DataFrame:

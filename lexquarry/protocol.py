@@ -36,6 +36,8 @@ USAGES = {
     "QUIT": "QUIT",
 }
 ACTIONS = {"consolidate": "TRIGGER consolidate", "backup": "TRIGGER backup <path>", "restore": "TRIGGER restore <path>"}
+#: An action that sessions have on request.
+MORE_ACTIONS = {"flush": "TRIGGER flush"}
 LIMIT_MAX, OFFSET_MAX = 2**16 - 1, 2**32 - 1
 
 
@@ -153,10 +155,14 @@ FORMS = {
 
 
 class Session:
-    """Lines go to :meth:`send`; ``START <mode> [password]`` comes first."""
+    """Lines go to :meth:`send`; ``START <mode> [password]`` comes first.
 
-    def __init__(self, engine: Engine, password: str | None = None):
+    more_actions: take ``TRIGGER flush`` too, which writes the state and takes the log out.
+    """
+
+    def __init__(self, engine: Engine, password: str | None = None, *, more_actions: bool = False):
         self.engine, self.password, self.mode, self.closed = engine, password, None, False
+        self.actions = ACTIONS | (MORE_ACTIONS if more_actions else {})
 
     def send(self, line: str) -> list[str]:
         """The replies to a line; none to an empty one."""
@@ -166,6 +172,8 @@ class Session:
         if self.mode is None:
             return [self._start(line.split())]
         began, name = time.time(), head.upper()
+        if self.engine.closing:
+            return ["ERR shutting_down"]
         try:
             if name not in MODES[self.mode]:
                 raise CommandError("unknown_command")
@@ -233,13 +241,13 @@ class Session:
 
     def _trigger(self, action: str | None = None, *data: str) -> str:
         if action is None:
-            return f"RESULT actions({', '.join(ACTIONS)})"
-        if (action := action.lower()) not in ACTIONS:
+            return f"RESULT actions({', '.join(self.actions)})"
+        if (action := action.lower()) not in self.actions:
             raise CommandError("not_found")
-        if len(data) != ACTIONS[action].count("<"):
-            raise _invalid_format(ACTIONS[action])
+        if len(data) != self.actions[action].count("<"):
+            raise _invalid_format(self.actions[action])
         try:
-            getattr(self.engine, action)(*data)
+            getattr(self.engine, {"flush": "compact"}.get(action, action))(*data)
         except Exception as e:
             raise CommandError("internal_error") from e
         return "OK"

@@ -14,7 +14,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import Config
-from ..operators.index import Index
 from ..schema import OPLOG
 from ..sources.scratch import shared_dir
 from ..sources.store import Store
@@ -40,11 +39,9 @@ def ingest(stream: DataFrame, store: Store, *, checkpoint: str, config: Config,
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).start()
 
 
-def consolidate(store: Store, config: Config) -> int:
-    """Publish the index of the whole log as a new version."""
-    version = (store.version() or 0) + 1
-    store.publish(Index.from_log(store.log(), config), version)
-    return version
+def consolidate(store: Store, config: Config) -> None:
+    """Publish the words of the log so far; where the log has grown by much since the last version, a new version too."""
+    store.consolidate(config, versions=True)
 
 
 def replay(spark: SparkSession, ops: DataFrame, config: Config) -> DataFrame:
@@ -58,4 +55,4 @@ def replay(spark: SparkSession, ops: DataFrame, config: Config) -> DataFrame:
     consolidate(store, config)
     from ..operators.admin import count_objects
 
-    return count_objects(store.index()).drop("collection")
+    return count_objects(store.current(config)).drop("collection")

@@ -188,9 +188,17 @@ def test_lifecycle(spark, tmp_path):
     again.consolidate()
     again.backup(str(tmp_path / "backup"))
     assert again.publish() == 1 and again.store.index().postings.count() == 4
+    assert again.pop("c", "b", "o:1", "baz two") == 1 and again.query("c", "b", "two", lang="none") == ["o:2"]
+    again.push("c", "b", "o:1", "baz", "none")
     other = Engine(spark, str(tmp_path / "other"), BASE)
+    other.push("c", "b", "gone", "forgotten words", "none")
     other.restore(str(tmp_path / "backup"))
-    assert other.list_terms("c", "b") == ["baz", "one", "three", "two"] and other.query("c", "b", "thre", lang="none") == ["o:2"]
+    other.push("c", "b", "o:3", "three four", "none")  # a backup that was restored stays
+    assert other.query("c", "b", "three", lang="none") == ["o:3", "o:2"] and other.query("c", "b", "forgotten", lang="none") == []
+    assert other.compact() == 2 and other.store.log().isEmpty()
+    other = Engine(spark, str(tmp_path / "other"), BASE)
+    assert other.query("c", "b", "three", lang="none") == ["o:3", "o:2"] and other.pop("c", "b", "o:3", "four") == 1
+    assert other.list_terms("c", "b") == ["baz", "one", "three", "two"] and other.query("c", "b", "thre", lang="none") == ["o:3", "o:2"]
     assert again.flush("c", "b", "o:2") == 3 and again.count("c", "b", "o:2") == 0
     assert again.flush("c", "b") == 1 and again.list_terms("c", "b") == []
     assert again.flush("c") == 0 and again.flush("nowhere") == 0
