@@ -283,7 +283,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     docs: doc_id, h (hash of the text), text.
     """
     parsed = materialise(map_blocks(docs, lambda: _parse, "doc_id long, h long, anchors array<long>, stretches array<long>, starts array<int>, counts array<int>"), "rep-parsed")
-    twice = parsed.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # written before the join: a frequent anchor's rows can then be split over tasks
+    twice = materialise(parsed.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "rep-twice")
     zipped = parsed.select("doc_id", "h", F.explode(F.arrays_zip("anchors", "stretches", "starts", "counts")).alias("x"))
     entries = zipped.select("doc_id", "h", F.col("x.anchors").alias("anchor"), F.col("x.stretches").alias("stretch"), F.col("x.starts").alias("start"), F.col("x.counts").alias("n"))
     shared = materialise(entries.join(twice, "anchor"), "rep-shared")
