@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import WORD, free_name, materialise, table
+from .util import WORD, free_name, materialise, table, tidy
 
 #: Words of a block at most; a source has this many blocks at least, or blocks of a single word.
 BLOCK_WORDS, LEAST_BLOCKS = 16, 256
@@ -128,35 +128,36 @@ def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: s
     sized = base.withColumn("size", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"))
     sized = sized.withColumn(skey, F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n")))
     sized = sized.withColumn(mark, F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.col(text)))
-    lean = materialise(sized.select(F.col(skey).alias("source_key"), F.col(mark).alias("mark"), "size"), "mix-sizes")
-    facts = targets(lean.groupBy("source_key").agg(F.sum("size").alias("source_size")), weights, share, cap)
-    facts = facts.withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS)).cast("long"))
-    facts = materialise(facts, "mix-facts")
-
-    def dealt(mark: Column, n: Column) -> Column:
-        return F.pmod(F.xxhash64(mark), n)
-
-    shards = lean.join(facts, "source_key").groupBy("source_key", dealt(F.col("mark"), F.col("n_shards")).alias("shard"), "source_size", "target").agg(F.sum("size").alias("words"))
-    length = F.greatest(F.lit(1), F.least(F.lit(BLOCK_WORDS), F.floor(F.col("source_size") / LEAST_BLOCKS)))
-    shards = materialise(shards.withColumn("n_blocks", F.greatest(F.lit(1), F.round(F.col("words") / length)).cast("long")), "mix-shards")
-    blocks = shards.where("words > 0").groupBy("source_key").agg(F.sum("n_blocks").alias("all_blocks"))
-    asked = F.round(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)) * F.col("all_blocks")).cast("long")
-    draw = F.xxhash64(F.lit(seed), "source_key", "shard")
-    # a shard counts by its blocks; a seeded fraction settles ties, which would be many
-    weight = F.when(F.col("words") > 0, F.col("n_blocks") + F.pmod(draw, F.lit(1 << 20)) / float(1 << 30)).otherwise(0.0)
-    seats = quotas(materialise(shards.join(blocks, "source_key", "left").select("source_key", "shard", weight.alias("weight"), F.coalesce(asked, F.lit(0)).alias("seats_of_source")), "mix-asked"))
-    plan = seats.join(shards, ["source_key", "shard"]).select(
-        F.col("source_key").alias(skey),
-        F.col("shard").alias(shard),
-        "source_size",
-        "target",
-        F.col("words").alias("shard_words"),
-        "n_blocks",
-        F.least(F.col("seats"), (F.lit(cap) * F.col("n_blocks")).cast("long")).alias("seats"),
-        F.element_at(F.array(*[F.lit(s) for s in STEPS]), (F.pmod(draw, F.lit(len(STEPS))) + 1).cast("int")).cast("long").alias("step"),
-        F.pmod(F.shiftright(draw, 7), F.col("n_blocks")).alias("shift"),
-    )
-    plan = materialise(plan, "mix-plan")
+    with tidy() as keep:  # only the facts and the plan are read from now on
+        lean = materialise(sized.select(F.col(skey).alias("source_key"), F.col(mark).alias("mark"), "size"), "mix-sizes")
+        facts = targets(lean.groupBy("source_key").agg(F.sum("size").alias("source_size")), weights, share, cap)
+        facts = facts.withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS)).cast("long"))
+        facts = keep(materialise(facts, "mix-facts"))
+
+        def dealt(mark: Column, n: Column) -> Column:
+            return F.pmod(F.xxhash64(mark), n)
+
+        shards = lean.join(facts, "source_key").groupBy("source_key", dealt(F.col("mark"), F.col("n_shards")).alias("shard"), "source_size", "target").agg(F.sum("size").alias("words"))
+        length = F.greatest(F.lit(1), F.least(F.lit(BLOCK_WORDS), F.floor(F.col("source_size") / LEAST_BLOCKS)))
+        shards = materialise(shards.withColumn("n_blocks", F.greatest(F.lit(1), F.round(F.col("words") / length)).cast("long")), "mix-shards")
+        blocks = shards.where("words > 0").groupBy("source_key").agg(F.sum("n_blocks").alias("all_blocks"))
+        asked = F.round(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)) * F.col("all_blocks")).cast("long")
+        draw = F.xxhash64(F.lit(seed), "source_key", "shard")
+        # a shard counts by its blocks; a seeded fraction settles ties, which would be many
+        weight = F.when(F.col("words") > 0, F.col("n_blocks") + F.pmod(draw, F.lit(1 << 20)) / float(1 << 30)).otherwise(0.0)
+        seats = quotas(materialise(shards.join(blocks, "source_key", "left").select("source_key", "shard", weight.alias("weight"), F.coalesce(asked, F.lit(0)).alias("seats_of_source")), "mix-asked"))
+        plan = seats.join(shards, ["source_key", "shard"]).select(
+            F.col("source_key").alias(skey),
+            F.col("shard").alias(shard),
+            "source_size",
+            "target",
+            F.col("words").alias("shard_words"),
+            "n_blocks",
+            F.least(F.col("seats"), (F.lit(cap) * F.col("n_blocks")).cast("long")).alias("seats"),
+            F.element_at(F.array(*[F.lit(s) for s in STEPS]), (F.pmod(draw, F.lit(len(STEPS))) + 1).cast("int")).cast("long").alias("step"),
+            F.pmod(F.shiftright(draw, 7), F.col("n_blocks")).alias("shift"),
+        )
+        plan = keep(materialise(plan, "mix-plan"))
     counts = facts.select(F.col("source_key").alias(skey), F.col("n_shards").alias(n_shards))
     out = sized.join(counts, skey).withColumn(shard, dealt(F.col(mark), F.col(n_shards)))
     order = Window.partitionBy(skey, shard).orderBy(mark, "size", F.col(key)).rowsBetween(Window.unboundedPreceding, -1)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import free_name, materialise, table
+from .util import free_name, materialise, table, tidy
 
 #: Titles by gender, and given names by gender and script.
 TITLES = {"m": ("Mr", "Herr", "Señor", "Monsieur", "Господин", "Κύριος"), "f": ("Mrs", "Ms", "Miss", "Frau", "Mme", "Mlle", "Madame", "Señora", "Señorita", "Госпожа", "Κυρία"), "u": ("Dr", "Prof")}
@@ -241,7 +241,8 @@ def replace_pii(docs: DataFrame, *, text: str = "text", key: str = "lexquarry")
     lean = found.select(F.col(row).alias("row"), F.col(gaps).alias("gaps"), F.col(pieces).alias("pieces"))
     flat = lean.select("row", "gaps", F.posexplode("pieces").alias("i", "ps")).select("row", "i", F.element_at("gaps", F.col("i") + 1).alias("gap"), F.posexplode("ps").alias("j", "p"))
     flat = flat.select("row", "i", "j", F.when(F.col("j") == 0, F.col("gap")).otherwise("").alias("gap"), "p.*")
-    chosen = surrogates(flat.select("kind", "gender", "canon"), key)
+    with tidy() as keep:
+        chosen = keep(materialise(surrogates(flat.select("kind", "gender", "canon"), key), "pii-chosen"))
     piece = F.concat("gap", "before", _shaped(F.col("kind"), F.col("raw"), F.col("surrogate")))
     put = flat.join(chosen, ["kind", "canon"]).select("row", F.struct("i", "j", piece.alias("s")).alias("x"))
     put = put.groupBy("row").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["s"]), "").alias("head"))

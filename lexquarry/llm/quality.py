@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import WORD, fold, free_name, labelled, table
+from .util import WORD, fold, free_name, labelled, table, tidy
 
 #: Labelled rows that the fit uses at most (expected size of a sample by hash).
 MAX_LABELLED = 20_000
@@ -162,5 +162,6 @@ def classify(docs: DataFrame, model: RuleEnsemble, *, text: str = "text", thresh
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
     """:func:`classify` on ``documents``: doc_id, held_out, score, predicted; null texts have a score like others."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality")
-    model = train(docs, labels.where(fold("doc_id", 5) != 0))
+    with tidy():
+        model = train(docs, labels.where(fold("doc_id", 5) != 0))
     return classify(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .neardup import mixed
-from .util import column, map_blocks, materialise, table
+from .util import column, map_blocks, materialise, table, tidy
 
 #: Bytes of a repeated string, of a hashed gram, and of a piece of a text that is parsed at a time.
 LENGTH, GRAM, PIECE = 200, 24, 8 << 20
@@ -345,7 +345,8 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     may not be valid UTF-8, so it is binary.
     """
     lean = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    spans = materialise(repeats(lean), "rep-spans")
+    with tidy() as keep:  # only the spans are read from now on
+        spans = keep(materialise(repeats(lean), "rep-spans"))
     r = spans.alias("r")
     out = lean.alias("l").join(r, F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.h") == F.col("r.h")), "left").select(F.col("l.doc_id").alias(key), "text", "spans")
     schema = f"`{key}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
@@ -353,4 +354,5 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """:func:`remove_repeats` of ``documents`` without the bytes; null texts count as empty, repeated rows remove each other's."""
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), with_bytes=False)

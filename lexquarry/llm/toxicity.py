@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import column, fold, labelled, map_blocks, materialise, table, texts
+from .util import column, fold, labelled, map_blocks, materialise, table, texts, tidy
 
 #: Labelled rows that the fit uses at most, neighbours, and entries of a block.
 MAX_LABELLED, NEIGHBOURS, BLOCK = 20_000, 15, 64
@@ -270,5 +270,6 @@ def score(docs: DataFrame, model: ToxicityModel, *, text: str = "text", threshol
 def op2_toxicity_knn(spark, sf_dir: str) -> DataFrame:
     """:func:`score` of ``documents``: doc_id, held_out, score, predicted; null and empty texts have a score like others."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = train(docs, labels.where(fold("doc_id", 3) != 1))
+    with tidy():
+        model = train(docs, labels.where(fold("doc_id", 3) != 1))
     return score(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..sources.scratch import forget, materialise, shared_dir  # noqa: F401  the operators' own names for them
+from ..sources.scratch import forget, materialise, remove, shared_dir, tidy  # noqa: F401  the operators' own names for them
 
 #: A word of the contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

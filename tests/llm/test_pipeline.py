@@ -1,5 +1,10 @@
+import re
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lexquarry.llm import bpe, neardup, pii, toxicity
+from lexquarry.sources import scratch
 
 SF = "/root/testdata/sf0.001"
 
@@ -12,12 +17,21 @@ def test_stages(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     scored = toxicity.score(docs, toxicity.train(docs, labels))
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in scored.where("score < 0.7").collect()}
+    toxic = {r.doc_id for r in labels.where("toxic = 1").collect()}
+    gone = {r.doc_id for r in docs.collect()} - {r.doc_id for r in clean.collect()}
+    known = {r.doc_id for r in labels.collect()}
+    assert len(gone & toxic) >= 0.8 * len(toxic) and len((gone & known) - toxic) <= 0.05 * len(known)
     alone = steps["near_dedup"](spark, clean, SF).cache()
     kept = neardup.near_duplicates(clean).where("kept")
     assert sorted(r.doc_id for r in alone.collect()) == sorted(r.doc_id for r in kept.collect())
     private = steps["pii"](spark, alone, SF).cache()
     assert private.columns == docs.columns and private.count() == alone.count()
-    assert {(r.doc_id, r.text) for r in pii.replace_pii(alone).collect()} and all(r.n_chars == len(r.text) for r in private.collect())
+    assert all(r.n_chars == len(r.text) for r in private.collect())
+    found = pii.replace_pii(alone).where("n_entities > 0").select("doc_id").collect()
+    before, after = ({r.doc_id: r.text for r in df.collect()} for df in (alone, private))
+    assert found and all(before[r.doc_id] != after[r.doc_id] for r in found) and sum(before[k] != after[k] for k in before) == len(found)
+    mails = lambda df: {m for r in df.collect() for m in re.findall(r"[\w.]+@[\w.]+\w", r.text)}
+    assert mails(alone) and not mails(alone) & mails(private)
     mixed = steps["mixing"](spark, private, SF).cache()
     words = lambda df: sum(len(r.text.split()) for r in df.collect())
     assert abs(words(mixed) - 1.5 * words(private)) < 0.02 * words(private)
@@ -33,7 +47,12 @@ def test_repeated_and_odd_rows(spark):
     out = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
     assert sorted(str(r.doc_id) for r in out) == ["1", "3", "4", "None"]
     assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), SF).count() == 0
-    assert corpus_pipeline.mix_sources(spark, corpus_pipeline.replace_personal_data(spark, docs, SF), SF).columns == docs.columns
+    private = corpus_pipeline.replace_personal_data(spark, docs, SF)
+    assert sorted(map(repr, private.collect())) == sorted(repr(r) for r in docs.withColumn("n_chars", F.length("text").cast("long")).collect())
+    mixed = corpus_pipeline.mix_sources(spark, private, SF)
+    assert mixed.columns == docs.columns
+    words = lambda df: sum(len((r.text or "").split()) for r in df.collect())
+    assert abs(words(mixed) - 1.5 * words(docs)) <= 2 and {r.doc_id for r in mixed.collect()} <= {1, 2, 4}
 
 
 def test_near_dedup_stage_against_brute_force(spark):
@@ -66,3 +85,13 @@ def test_different_texts_of_a_doc_id_stay(spark):
     docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     out = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
     assert sorted((r.doc_id, r.text) for r in out) == [(1, "A b c d e f"), (1, "p q r s t u"), (3, "")]
+
+
+def test_run_applies_all_stages_and_leaves_only_its_result(spark):
+    before = scratch.written()
+    out = corpus_pipeline.run(spark, SF)
+    assert scratch.written() == before
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, docs.collect()))
