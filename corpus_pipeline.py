@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexquarry.llm import bpe, mixing, neardup, pii, toxicity
-from lexquarry.llm.util import materialise, shared_dir
+from lexquarry.llm.util import materialise, remove, shared_dir, tidy
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Similarity of shingle sets, in percent, from which documents are near-duplicates.
@@ -29,7 +29,11 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.7.  All labels train it; a null or empty text stays."""
+    """Documents whose toxicity score is below 0.7.  All labels train it.
+
+    Null and empty texts are scored like those without a telling term, and stay unless most such labelled texts are toxic;
+    equal rows go or stay together.  An empty table gives none.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.train(docs, labels)
     return toxicity.score(docs, model).where("predicted = 0").select(*COLUMNS)
@@ -60,15 +64,20 @@ def _drop_by_row(docs: DataFrame) -> DataFrame:
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with surrogates for personal data.  Null and empty texts stay; equal rows come out equal."""
     return _documents(pii.replace_pii(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of each document: a row for each time it is taken, wholly or in part.
+
+    Null and blank texts have no words and no row.  A null source is a source of its own; equal rows are taken one by one.
+    """
     return _documents(mixing.taken_texts(mixing.mix(docs)))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids_sha256, decoded_sha256 of every text."""
+    """doc_id, source, n_tokens, ids_sha256, decoded_sha256 of every text; a null text counts as empty, no row is dropped."""
     return bpe.digests(docs).select("doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
@@ -78,10 +87,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply the stages to ``documents``.
+
+    What a stage wrote for itself goes once its result is written, and a stage's result once the next one's is.  Columns
+    that documents have besides COLUMNS end at the first stage; an empty table passes through all of them.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     folder = f"{shared_dir(spark)}/lexquarry/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{i}-{name}")
-        docs = spark.read.parquet(path)
+        path = f"{folder}/{i}-{name}"
+        with tidy():
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
