@@ -7,6 +7,10 @@ MOST_ERRORS differences has a chunk with at most MOST_ERRORS // CHUNKS of them (
 under every chunk with up to that many places left out, and every such pair meets in a bucket.  Links are confirmed on
 the full sets.
 
+Documents that stay open after the first round get a long sketch, LONG minima of four bits each: two sketches that differ
+in more places than DEVIATIONS deviations above what is expected at the similarity asked for are no link.  In a group of
+copies that differ from one another by many edits this rules out most pairs before their texts are read.
+
 Equal sets are one class from the start, and buckets with the same members are one bucket.  Within a bucket members are
 first tried against its lead, the one with the fewest shingles of its own; only buckets whose members then still lie in different components give
 further pairs, and only between components: a link inside a component changes nothing.
@@ -31,10 +35,14 @@ ERRORS = MOST_ERRORS // CHUNKS
 assert ERRORS == 1  # _first_meeting counts on it
 #: Least similarity in percent, with the chunks that guarantee it (one error each: twice as many differences less one).
 LAYOUTS = ((85, CHUNKS), (80, 14))
+#: Minima of a long sketch (four bits each, the bits of 64 minima to a word), and deviations above the expected differences.
+LONG, BITS, DEVIATIONS = 512, 4, 5.0
+_WORDS = [f"w{b}_{i}" for b in range(BITS) for i in range(LONG // 64)]
 #: Names of shingles that are counted together, about.
 SHARD_NAMES = 1 << 20
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _ODD = np.random.default_rng(20).integers(1, 1 << 62, 2 * HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LONG_ODD = np.random.default_rng(21).integers(1, 1 << 62, LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
 
 
@@ -68,6 +76,36 @@ def signature(names: np.ndarray) -> np.ndarray:
     return out
 
 
+def long_sketch(names: np.ndarray) -> np.ndarray:
+    """LONG minima, BITS bits of each, as words: first the lowest bits of all, then the next."""
+    least = np.full(LONG, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for a in range(0, len(names), 1024):
+        h = names[a : a + 1024, None] * _LONG_ODD
+        h ^= h >> np.uint64(32)
+        h *= _LONG_ODD[::-1]
+        np.minimum(least, h.min(axis=0), out=least)
+    planes = [np.packbits((least >> np.uint64(40 + b) & np.uint64(1)).astype(bool)) for b in range(BITS)]
+    return np.concatenate(planes).view(np.uint64)
+
+
+def most_apart(percent: int) -> int:
+    """Differences of long sketches that a pair of the least similarity has with near certainty at most."""
+    p = (100 - percent) / 100 * (1 - 2.0**-BITS)
+    return int(LONG * p + DEVIATIONS * (LONG * p * (1 - p)) ** 0.5)
+
+
+def _sketched(block: pa.RecordBatch) -> dict:
+    each = np.array([long_sketch(shingles(t)) for t in column(block, "text").to_pylist()]).view(np.int64)
+    return {"rep": column(block, "doc_id")} | {w: each[:, i] for i, w in enumerate(_WORDS)}
+
+
+def _apart(x: str, y: str):
+    """Places at which two long sketches (columns of the two sides) differ."""
+    differ = lambda w: F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}"))
+    each = [F.bit_count(reduce(lambda p, q: p.bitwiseOR(q), [differ(f"w{b}_{i}") for b in range(BITS)])) for i in range(LONG // 64)]
+    return reduce(lambda p, q: p + q, each)
+
+
 def layout(percent: int) -> int:
     """The chunks for a similarity: 2 * chunks - 1 differences lie almost five deviations above those expected."""
     for least, chunks in LAYOUTS:
@@ -286,9 +324,12 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         mixed_up = tagged.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
         # the pairs of the lead have been tried; who has too many shingles of its own has no partner of any size
         still = tagged.join(mixed_up, "bucket").where("rep <> lead").join(facts, "rep").where(F.col("own") * 100 <= (100 - percent) * F.col("n_shingles"))
-        still = materialise(still, "dup-open")
+        reps = still.select(F.col("rep").alias("doc_id")).distinct()
+        sketches = materialise(map_blocks(held.join(reps, "doc_id", "left_semi"), lambda: _sketched, "rep long, " + ", ".join(f"{w} long" for w in _WORDS)), "dup-sketches")
+        still = materialise(still.join(sketches, "rep"), "dup-open")
         l, r = still.alias("l"), still.alias("r")
-        cross = l.join(r, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.rep") < F.col("r.rep")) & (F.col("l.comp") != F.col("r.comp")) & _first_meeting("l.k", "l.sig", "r.sig", chunks) & _near(percent, "l.n_shingles", "r.n_shingles", "l.own", "r.own", "l.sig", "r.sig"))
+        apart = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.rep") < F.col("r.rep")) & (F.col("l.comp") != F.col("r.comp")) & (_apart("l", "r") <= most_apart(percent))
+        cross = l.join(r, apart & _near(percent, "l.n_shingles", "r.n_shingles", "l.own", "r.own", "l.sig", "r.sig") & _first_meeting("l.k", "l.sig", "r.sig", chunks))
         more = confirmed(cross.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")), held, percent, "dup-more")
         final = first if more.isEmpty() else components(links.unionByName(same_key).unionByName(more), "dup-all")
         placed = members.groupBy("doc_id").agg(F.min("rep").alias("rep")).join(final, "rep", "left").select("doc_id", comp.alias("comp"))

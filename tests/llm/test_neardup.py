@@ -1,6 +1,8 @@
 import random
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from lexquarry.llm import neardup
 
 
@@ -121,3 +123,38 @@ def test_the_query_on_whole_tables(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.op1_minhash_components(spark, sf).collect()}
     assert got == set(brute(rows))
+
+
+def test_long_sketches_differ_as_expected(spark):
+    """Differences grow with 1 - similarity; the columns count what the arrays say."""
+    np, rng = neardup.np, random.Random(3)
+    names = np.array(sorted(rng.randrange(1 << 63) for _ in range(3000)), dtype=np.uint64)
+    n = neardup.LONG // 64
+    nibbles = lambda w: [sum((int(w[b * n + i // 64]) >> i % 64 & 1) << b for b in range(neardup.BITS)) for i in range(neardup.LONG)]
+    rows = []
+    for share in (1.0, 0.9, 0.8, 0.6):
+        cut = int(1000 * 2 * share / (1 + share))
+        a, b = neardup.long_sketch(names[:1000]), neardup.long_sketch(np.sort(np.append(names[:cut], names[1000 : 2000 - cut])))
+        wrong = sum(x != y for x, y in zip(nibbles(a), nibbles(b)))
+        expected = neardup.LONG * (1 - share) * 15 / 16
+        assert abs(wrong - expected) <= 5 * (expected + 1) ** 0.5 and (share < 0.8 or wrong <= neardup.most_apart(80))
+        rows.append((wrong, *[int(x) for x in a.view(np.int64)], *[int(x) for x in b.view(np.int64)]))
+    words = neardup._WORDS
+    df = spark.createDataFrame(rows, "n int, " + ", ".join(f"a{w} long" for w in words) + ", " + ", ".join(f"b{w} long" for w in words))
+    df = df.select("n", F.struct(*[F.col(f"a{w}").alias(w) for w in words]).alias("l"), F.struct(*[F.col(f"b{w}").alias(w) for w in words]).alias("r"))
+    assert [r.n for r in df.collect()] == [r.n for r in df.select(neardup._apart("l", "r").alias("n")).collect()]
+
+
+def test_a_group_of_copies_that_all_differ(spark):
+    """Edits of one text, most of them linked with few others: components as by brute force."""
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for k in range(80):
+        w = list(base)
+        for i in rng.sample(range(200), rng.choice([1, 2, 3, 4, 5, 6])):
+            w[i] = f"e{rng.randrange(30)}"
+        rows.append((k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (80, 85):
+        assert sorted(tuple(r) for r in neardup.near_duplicates(df, percent=percent).collect()) == brute(rows, percent)
