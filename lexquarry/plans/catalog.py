@@ -141,15 +141,11 @@ def lex_distinct(spark, sf_dir):
     return lexer.distinct_terms(rows, ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("n_terms"))
 
 
-@query("lex_byte_len", f"with {_lex_sql(_DOCS)} select doc_id, term, arg_min(bytes, pos) as bytes from lex where not regexp_matches(w, '^[\\x00-\\x7F]*$') group by doc_id, term")
+@query("lex_byte_len", f"with {_lex_sql(_DOCS)} select doc_id, term, arg_min(bytes, pos) as bytes from lex group by doc_id, term")
 def lex_byte_len(spark, sf_dir):
+    """Bytes of every term's first word as it is written."""
     rows = lexer.tokens(documents(spark, sf_dir).select(F.col("seq").alias("doc_id"), "text"), WORDS, lang=None, cleanup=False)
-    return lexer.distinct_terms(rows.where(F.col("term").rlike(r"[^\x00-\x7F]") | (F.octet_length("term") != F.col("bytes")) | (F.col("term").contains("ss") & (F.col("bytes") == F.octet_length("term")))), ["doc_id"]).where(F.lit(True)).select("doc_id", "term", F.col("bytes").cast("long").alias("bytes")).join(_odd_terms(spark, sf_dir), ["doc_id", "term"], "left_semi")
-
-
-def _odd_terms(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(lexer.words(F.col("text"))).alias("w")).where(F.col("w").rlike(r"[^\x00-\x7F]"))
-    return d.select("doc_id", lexer.fold_case(F.col("w")).alias("term")).distinct()
+    return lexer.distinct_terms(rows, ["doc_id"]).select("doc_id", "term", F.col("bytes").cast("long").alias("bytes"))
 
 
 #: All special patterns, each a group.

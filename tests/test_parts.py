@@ -175,3 +175,39 @@ def test_the_entry_needs_no_jar_of_spark(tmp_path):
     root = pathlib.Path(__file__).parent.parent
     code = f"import pyspark; pyspark.__file__ = {str(tmp_path / '__init__.py')!r}; import __spark_entry__ as e; sql = e.oracle_sql(); assert set(sql) <= set(e.queries()) and len(sql) > 50 and not any('{{{{' in s for s in sql.values())"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(root), "SPARK_HOME": str(tmp_path)})
+
+
+def test_shutdown_and_the_flush_action():
+    from types import SimpleNamespace
+
+    from lexquarry.engine import Statistics
+    from lexquarry.protocol import Session
+
+    done = []
+    engine = SimpleNamespace(closing=False, stats=Statistics(), compact=lambda: done.append("compact"))
+    plain, more = Session(engine), Session(engine, more_actions=True)
+    for s in (plain, more):
+        assert s.send("START control") == ["STARTED control"]
+    assert plain.send("TRIGGER flush") == ["ERR not_found"] and not done
+    assert more.send("TRIGGER flush") == ["OK"] and done == ["compact"]
+    engine.closing = True
+    assert plain.send("PING") == more.send("TRIGGER consolidate") == ["ERR shutting_down"]
+
+
+def test_languages_of_the_protocol_in_either_case():
+    from lexquarry.protocol import _language
+
+    assert _language("ENG") == _language("eng") == "eng" and _language("none") == "none"
+    for x in ("xyz", "NONE", "english", ""):
+        with pytest.raises(ValueError):
+            _language(x)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from lexquarry.sources import scratch
+
+    session = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(scratch.NoSharedFolder):
+        scratch.shared_dir(session)
