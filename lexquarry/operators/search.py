@@ -71,19 +71,14 @@ def weighed(terms: DataFrame, index: Index, config: Config) -> DataFrame:
     return own.unionByName(forms.join(found, [*_BUCKET, "term"]).select(columns))
 
 
-def exact_rows(words: DataFrame, index: Index) -> DataFrame:
-    """qid, idx, iid, score, key of the postings of the :func:`weighed` words."""
+def exact_rows(words: DataFrame, index: Index, n_words: int) -> DataFrame:
+    """qid, idx, iid, score, key of the postings of the :func:`weighed` words.  n_words: how many these are at most; few
+    are sent to all executors."""
     ranked = words.withColumn("nth", F.row_number().over(Window.partitionBy("qid").orderBy("idx", "form", "term")))
-    found = F.broadcast(ranked) if _small(words) else ranked
-    rows = index.postings.join(found, [*_BUCKET, "term"])
+    rows = index.postings.join(F.broadcast(ranked) if n_words <= BROADCAST_WORDS else ranked, [*_BUCKET, "term"])
     return rows.select("qid", "idx", "iid", "score", order_key(F.col("nth"), F.col("link_seq")))
 
 
-def _small(words: DataFrame) -> bool:
-    """Whether a batch's words are few enough to be sent to all executors; the count is that of a table that lies written."""
-    return words.count() <= BROADCAST_WORDS
-
-
 def order_key(nth: Column, seq: Column) -> Column:
     """When a posting is looked at, as one number that sorts so: the nth word of its query, then the most recent links."""
     return (F.shiftleft(nth.cast("long"), PLACE_BITS) + (F.lit((1 << PLACE_BITS) - 1) - F.least(seq, F.lit((1 << PLACE_BITS) - 1)))).alias("key")
@@ -164,7 +159,7 @@ def alternates(terms: DataFrame, index: Index, config: Config) -> DataFrame:
         spent = parts[0].groupBy("qid").agg(F.sum("df").alias("spent")).where(F.col("spent") >= s.query_alternates_try)
         terms = terms.join(spent, "qid", "left_anti")
     able = terms.where("not special").withColumn("most", typo_factor(F.col("bytes"))).where("most > 0")
-    if s.fuzzy_matching_enabled and not (able := materialise(able, "typo-terms")).isEmpty():
+    if s.fuzzy_matching_enabled and not able.isEmpty():
         t = typo_candidates(able, index.lexicon)
         t = t.where("word <> term").select("*", F.explode(F.sequence(F.greatest(F.lit(1), F.col("distance")), F.col("most"))).alias("factor"))
         t = t.select("qid", *_BUCKET, "idx", "word", F.lit(2).alias("phase"), "factor", typo_score(F.col("factor"), length).alias("base"))
@@ -202,11 +197,13 @@ def search(queries: DataFrame, index: Index, config: Config, *, exact: bool = Fa
     terms = materialise(query_terms(queries, config, exact=exact), "query-terms")
     words = materialise(weighed(terms, index, config), "query-words")
     # a query's documents are no more than its postings: only those with many can meet the retention limit
-    many = words.groupBy("qid").agg(F.sum("found").alias("found")).where(F.col("found") >= most).select("qid")
-    rows, open_terms = exact_rows(words, index), terms
-    if not many.isEmpty():
-        cut, counts = capped(exact_rows(words.join(many, "qid", "left_semi"), index), most)
-        rows = exact_rows(words.join(many, "qid", "left_anti"), index).unionByName(cut)
+    each = words.groupBy("qid").agg(F.sum("found").alias("found"), F.count("*").alias("n"))
+    largest, n_words = each.agg(F.coalesce(F.max("found"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).head()
+    rows, open_terms = exact_rows(words, index, n_words), terms
+    if largest >= most:
+        many = each.where(F.col("found") >= most).select("qid")
+        cut, counts = capped(exact_rows(words.join(many, "qid", "left_semi"), index, n_words), most)
+        rows = exact_rows(words.join(many, "qid", "left_anti"), index, n_words).unionByName(cut)
         open_terms = terms.join(counts.where(F.col("docs") >= most).select("qid"), "qid", "left_anti")
     if s.query_alternates_try > 0 and (s.prefix_matching_enabled or s.fuzzy_matching_enabled):
         rows = rows.unionByName(alternates(open_terms, index, config))
