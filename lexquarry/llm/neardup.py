@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import column, map_blocks, materialise, table, tidy
+from .util import column, map_blocks, materialise, release, table, tidy
 
 #: Words of a shingle, minima, and the chunks of the signature with the errors allowed in each.
 SHINGLE, HASHES, MOST_ERRORS, CHUNKS = 5, 64, 23, 12
@@ -39,7 +39,7 @@ LAYOUTS = ((85, CHUNKS), (80, 14))
 LONG, BITS, DEVIATIONS = 512, 4, 5.0
 _WORDS = [f"w{b}_{i}" for b in range(BITS) for i in range(LONG // 64)]
 #: Names of shingles that are counted together, about.
-SHARD_NAMES = 1 << 20
+SHARD_NAMES = 1 << 19
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _ODD = np.random.default_rng(20).integers(1, 1 << 62, 2 * HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LONG_ODD = np.random.default_rng(21).integers(1, 1 << 62, LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -79,8 +79,8 @@ def signature(names: np.ndarray) -> np.ndarray:
 def long_sketch(names: np.ndarray) -> np.ndarray:
     """LONG minima, BITS bits of each, as words: first the lowest bits of all, then the next."""
     least = np.full(LONG, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for a in range(0, len(names), 1024):
-        h = names[a : a + 1024, None] * _LONG_ODD
+    for a in range(0, len(names), 256):
+        h = names[a : a + 256, None] * _LONG_ODD
         h ^= h >> np.uint64(32)
         h *= _LONG_ODD[::-1]
         np.minimum(least, h.min(axis=0), out=least)
@@ -234,7 +234,10 @@ def _alone(t: pa.Table) -> pa.Table:
     once = np.append(0, np.cumsum(count[inverse] == 1))
     own = np.diff(once[np.cumsum([0] + [len(x) for x in parts])]).astype(np.int64)
     out = pa.table({"rep": t.column("rep"), "h": t.column("h"), "own": own})
-    return out.filter(pc.is_valid(out.column("rep")))
+    out = out.filter(pc.is_valid(out.column("rep")))
+    del parts, common, inverse, count, once
+    release()
+    return out
 
 
 def own_shingles(texts: DataFrame, total: int) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -67,6 +70,14 @@ def blocks(batches: Iterable[pa.RecordBatch], weigh: str | None, most: int = BLO
         yield batch.slice(start)
 
 
+def release() -> None:
+    """Give freed memory back: a worker waits for its next task, and other stages need the room."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_blocks(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str | T.StructType, weigh: str | None = "text", most: int = BLOCK_BYTES) -> DataFrame:
     """mapInArrow in blocks of bounded size.  ``make()`` runs once per task and returns block -> {column: values}."""
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
@@ -78,6 +89,8 @@ def map_blocks(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict
             if block.num_rows:
                 out = work(block)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+        work = out = block = None
+        release()
 
     return df.mapInArrow(run, kind)
 
