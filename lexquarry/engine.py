@@ -96,10 +96,9 @@ class Engine:
         if self._live is None or self._live[0] != self._seq:
             scratch.forget(self._tables)
             before = scratch.written()
-            with scratch.tidy() as keep:
-                index = self.store.current(self.config, exact=self.exact).kept()
-                for name in Store.TABLES:
-                    keep(getattr(index, name))
+            index = self.store.current(self.config, exact=self.exact)
+            if self.store.version() is None:
+                index = index.kept()  # with a version most rows lie written, and what came since has been
             self._live, self._tables = (self._seq, index), scratch.written_since(before)
         return self._live[1]
 
