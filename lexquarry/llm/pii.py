@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import free_name, materialise, table, tidy
+from .util import free_name, materialise, table
 
 #: Titles by gender, and given names by gender and script.
 TITLES = {"m": ("Mr", "Herr", "Señor", "Monsieur", "Господин", "Κύριος"), "f": ("Mrs", "Ms", "Miss", "Frau", "Mme", "Mlle", "Madame", "Señora", "Señorita", "Госпожа", "Κυρία"), "u": ("Dr", "Prof")}
@@ -192,23 +192,27 @@ def surrogates(found: DataFrame, key: str) -> DataFrame:
     smaller canonical form has drawn in this round, draws again in the next.  Rounds end when none is left over; most
     parts are settled in the first, and only the rest are looked at again.
     """
-    spark, name = found.sparkSession, F.col("kind").rlike("^(?:given|surname)_")
+    name = F.col("kind").rlike("^(?:given|surname)_")
     shown = lambda g: F.max((F.col("gender") == g).cast("int"))
     gender = F.when(shown("m") > shown("f"), "m").when(shown("f") > shown("m"), "f").otherwise("")
     now = materialise(found.groupBy("kind", "canon").agg(gender.alias("gender")), "pii-parts")
     real = now.select("kind", F.col("canon").alias("folded"))
-    settled, turn = spark.createDataFrame([], "kind string, canon string, surrogate string, folded string"), 0
+    settled, turn = None, 0
     while n := now.count():
         # a draw is costly: parts are dealt out evenly before it
         dealt = now.repartition(-(-n // DRAWN), "kind", "canon")
         drawn = dealt.withColumn("surrogate", draw(F.col("kind"), F.col("gender"), F.col("canon"), F.lit(turn), key))
         drawn = materialise(drawn.withColumn("folded", F.when(name, F.lower("surrogate")).otherwise(F.col("surrogate"))), "pii-drawn")
         # the few names of the first draw are drawn by very many: an aggregation combines them before the shuffle
-        first = drawn.groupBy("kind", "folded").agg(F.min(F.struct("canon", "surrogate")).alias("w")).select("kind", "folded", "w.*")
-        free = first.join(real, ["kind", "folded"], "left_anti").join(settled.select("kind", "folded"), ["kind", "folded"], "left_anti")
-        got = materialise(free.select("kind", "canon", "surrogate", "folded"), "pii-settled")
-        now = materialise(drawn.select("kind", "canon", "gender").join(got, ["kind", "canon"], "left_anti"), "pii-again")
-        settled, turn = settled.unionByName(got) if turn else got, turn + 1
+        free = drawn.groupBy("kind", "folded").agg(F.min("canon").alias("canon")).join(real, ["kind", "folded"], "left_anti")
+        if settled is not None:
+            free = free.join(settled.select("kind", "folded"), ["kind", "folded"], "left_anti")
+        free = free.select("kind", "canon", F.lit(True).alias("free"))
+        checked = materialise(drawn.join(free, ["kind", "canon"], "left").withColumn("free", F.coalesce("free", F.lit(False))), "pii-checked")
+        got, now, turn = checked.where("free"), checked.where("not free").select("kind", "canon", "gender"), turn + 1
+        settled = got if settled is None else settled.unionByName(got)
+    if settled is None:
+        return found.where("false").select("kind", "canon", F.lit("").alias("surrogate"))
     return settled.select("kind", "canon", "surrogate")
 
 
@@ -241,8 +245,7 @@ def replace_pii(docs: DataFrame, *, text: str = "text", key: str = "lexquarry")
     lean = found.select(F.col(row).alias("row"), F.col(gaps).alias("gaps"), F.col(pieces).alias("pieces"))
     flat = lean.select("row", "gaps", F.posexplode("pieces").alias("i", "ps")).select("row", "i", F.element_at("gaps", F.col("i") + 1).alias("gap"), F.posexplode("ps").alias("j", "p"))
     flat = flat.select("row", "i", "j", F.when(F.col("j") == 0, F.col("gap")).otherwise("").alias("gap"), "p.*")
-    with tidy() as keep:
-        chosen = keep(materialise(surrogates(flat.select("kind", "gender", "canon"), key), "pii-chosen"))
+    chosen = surrogates(flat.select("kind", "gender", "canon"), key)
     piece = F.concat("gap", "before", _shaped(F.col("kind"), F.col("raw"), F.col("surrogate")))
     put = flat.join(chosen, ["kind", "canon"]).select("row", F.struct("i", "j", piece.alias("s")).alias("x"))
     put = put.groupBy("row").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["s"]), "").alias("head"))
