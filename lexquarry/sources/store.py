@@ -78,15 +78,17 @@ class Store:
         index's own is).
         """
         root = f"{self.path}/version={version}"
-        for name in self.TABLES:
-            if (df := getattr(index, name)) is None:
-                df = index.lexicon.withColumn("pushed", F.lit(seq).cast("long"))
-            if name in ("bucket_stats", "objects"):
-                df.write.mode("overwrite").partitionBy("collection", "bucket").parquet(f"{root}/{name}")
-            else:
-                # by ranges, as many as the data need: a hot bucket has many, a frequent term may have several
-                order = ["collection", "bucket", "term"] + ["iid"] * (name == "postings")
-                df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("collection", "bucket").parquet(f"{root}/{name}")
+        with scratch.tidy():
+            index = index.kept()  # each table is made once: dealing by ranges reads it twice
+            for name in self.TABLES:
+                if (df := getattr(index, name)) is None:
+                    df = index.lexicon.withColumn("pushed", F.lit(seq).cast("long"))
+                if name in ("bucket_stats", "objects"):
+                    df.write.mode("overwrite").partitionBy("collection", "bucket").parquet(f"{root}/{name}")
+                else:
+                    # by ranges, as many as the data need: a hot bucket has many, a frequent term may have several
+                    order = ["collection", "bucket", "term"] + ["iid"] * (name == "postings")
+                    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("collection", "bucket").parquet(f"{root}/{name}")
         if batches is not None:
             batches.write.mode("overwrite").parquet(f"{root}/batches")
         if published is None:
