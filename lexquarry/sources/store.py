@@ -78,7 +78,7 @@ class Store:
         index's own is).
         """
         root = f"{self.path}/version={version}"
-        with scratch.tidy():
+        with scratch.tidy(), scratch.cleaning(self.spark):
             index = index.kept()  # each table is made once: dealing by ranges reads it twice
             for name in self.TABLES:
                 if (df := getattr(index, name)) is None:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..config import Config
 from ..schema import OPLOG
-from ..sources.scratch import shared_dir
+from ..sources.scratch import cleaning, remove, shared_dir
 from ..sources.store import Store
 
 
@@ -47,11 +47,13 @@ def consolidate(store: Store, config: Config) -> None:
 def replay(spark: SparkSession, ops: DataFrame, config: Config) -> DataFrame:
     """Documents written as files, streamed in micro-batches into a store, published, counted by object."""
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    ops.repartition(4, "seq").write.parquet(f"{root}/in")
+    with cleaning(spark):
+        ops.repartition(4, "seq").write.parquet(f"{root}/in")
     stream = spark.readStream.schema(OPLOG).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
     store = Store(spark, f"{root}/store")
     run = ingest(stream, store, checkpoint=f"{root}/progress", config=config, publish=False, trigger={"availableNow": True})
     run.awaitTermination()
+    remove(spark, f"{root}/in")  # all of it is in the log now
     consolidate(store, config)
     from ..operators.admin import count_objects
 
